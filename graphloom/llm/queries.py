@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, toxicity
+from . import embed_dedup, langid, ngram_join, toxicity
 from .chat_template import format_conversations, read_back
 from .common import id_remainder, read_table
 from .html_extract import extract
@@ -34,6 +34,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.find_near(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), gram=4, percent=85)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op5_mixing": op5_mixing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
