@@ -1,26 +1,83 @@
-"""From raw documents to a training mix in stages, each written as Parquet and read again as the next one's input."""
+"""From raw documents to a training mix in stages, each written as Parquet and read again as the next one's input.
+
+language    documents whose language is not recognised go
+near-dups   one document of each group of near copies stays, the one with the smallest id
+repeats     passages of 400 bytes and more that stand elsewhere too are cut; documents with nothing left go
+benchmark   documents with an item of the benchmark go
+mixing      documents are taken as often as the target weights of their sources ask for
+
+Defined results: null and wordless texts go in the first stage.  Rows with a null id cannot be named in a group, a list of
+repeats or of leaks, so they pass those stages unchanged.  Of rows with one id, one stays.  An empty table gives an empty result.  Further columns of
+documents are carried along; all but the last stage return the columns they were given.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, read_table
-from graphloom.llm.mixing import mix
+from graphloom.llm import decontaminate, langid, mixing, ngram_join, suffix_dedup
+from graphloom.llm.common import Scratch, id_remainder, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the identifier accepts."""
+    model = langid.train(docs.where(id_remainder("doc_id", 5) != 0))
+    return langid.identify(docs, model, tuple(docs.columns)).where("not rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: five-word shingles, Jaccard 0.8 or more."""
+    groups = ngram_join.ngram_join(docs, gram=5, percent=80)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand elsewhere too; a character goes with any of its bytes."""
+    found = suffix_dedup.remove_repeats(docs, with_text=True)
+
+    def texts(batches):
+        for b in batches:
+            kept = [k.decode("utf-8", "ignore") for k in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["__id", "__kept"])
+
+    cut = found.where("n_removed > 0").select("doc_id", "kept").mapInArrow(texts, "__id long, __kept string")
+    joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
+    changed = F.col("__id").isNotNull()
+    text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
+    blank = changed & ~F.col("__kept").rlike(r"[^\x20\x09-\x0D]")
+    columns = [text.alias(c) if c == "text" else F.when(changed, F.length("__kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.where(~blank).select(*columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an item of the benchmark."""
+    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("size(hits) > 0 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with the words that the mix takes, for documents that it takes."""
-    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """Documents that the mix takes, with their size and the words taken, repeats counted."""
+    return mixing.mix(docs).where("taken > 0")
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", keep_known_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("benchmark", drop_contaminated),
+    ("mixing", mix_sources),
+]
 
-#: No stage but the last could be said in SQL, so the rows of run() cannot.
+#: The first stage trains a model, so SQL cannot express the rows of run().
 ORACLE_SQL: str | None = None
 
 
@@ -29,4 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs

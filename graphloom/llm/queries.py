@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, langid, ngram_join, suffix_dedup, toxicity
+from . import decontaminate, embed_dedup, langid, ngram_join, suffix_dedup, toxicity
 from .chat_template import format_conversations, read_back
 from .common import id_remainder, read_table
 from .html_extract import extract
@@ -30,6 +30,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the benchmark items found in it, the largest similarity, and whether there is any."""
+    found = decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    best = F.array_max(F.transform("hits", lambda h: 1 - h["distance"] / h["n_words"]))
+    return found.select(
+        "doc_id",
+        F.size("hits").cast("long").alias("n_items"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).cast("array<string>"), ",").alias("item_ids"),
+        F.coalesce(best, F.lit(0.0)).alias("similarity"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
