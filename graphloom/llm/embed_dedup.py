@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, hash_sample
+from .common import Scratch, connected_components, forest, hash_sample
 
 #: Vectors, about, to which the index is fitted; every vector is indexed.
 SAMPLE_VECTORS = 8192
@@ -104,20 +104,6 @@ class Index:
         return total
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest reachable index of each of n nodes under links a-b."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        while not np.array_equal(root[root], root):
-            root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def link_unit(frame: pd.DataFrame, indexes: dict[int, Index], least: float) -> tuple[pd.DataFrame, int]:
     """Sums and forest of one unit; and how many exact cosines it took."""
     members, queries = frame[~frame["query"]], frame[frame["query"]]

@@ -2,14 +2,16 @@
 
 A document is the set of its distinct word n-grams.  Two documents link when 100 |intersection| >= percent |union|.
 
-1. One pass hashes the sets.  Documents of one set are one class, so copies cost one row each and nothing more.  The pass
-   also counts n-grams in a sketch of fixed size, whose sums give the order: rare first.
-2. Of each class the prefix of its ordered set is dealt out by n-gram: two sets that link share an n-gram of both prefixes.
-   Length and positional filters drop pairs there.  Each class first meets one partner of each shared n-gram, the first.
-3. Pairs left by the suffix filter (a bound of the overlap from counts in ranges of the hash) are verified once, exactly.
-4. After the first round most sets of a group are in one component.  Every remaining pair that shares a prefix n-gram and
-   lies in two components is filtered and verified in a second round.  So no link that connects components is lost, and
-   the pairs inside a large group are never written out.
+1. Documents are written as chunks with their sets' names; documents of one set are one class, so copies cost one row each
+   and nothing more.  The n-grams of each chunk are dealt out by bucket as packed names and counted over all chunks; a
+   level of the count, four bits for each n-gram, comes back.  So the order, rare first, is by true counts at any size.
+2. Of each class the prefix of its ordered set is dealt out by n-gram, without n-grams that stand in one document: two sets
+   that link share an n-gram of both prefixes.  Length, positional and suffix filters are applied to the classes that meet
+   there; the suffix filter bounds the difference of two sets from below by their counts in ranges of the hash.  The pairs
+   that pass are not written: an n-gram returns a spanning forest of them, so a group of any size costs one row a member.
+3. The components of these forests are the candidate groups: no pair in two of them can link.  Each set goes to its group,
+   a group is dealt out in units of two blocks, and a unit counts the intersections of its pairs exactly, each pair once,
+   and returns a spanning forest of the links.
 
 Defined results: null text, or text without words, has an empty set and is its own component; with fewer than n words the
 whole sequence is one n-gram; repeated rows are documents each; a null doc_id takes part, and its component is the
@@ -21,16 +23,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_blocks, byte_codes, class_table, connected_components, lower_table, mix64, span_hashes, word_spans
+from .common import Scratch, byte_blocks, byte_codes, class_table, connected_components, forest, lower_table, mix64, pack, span_hashes, string_buffer, unpack, word_spans
 
-#: Counters of the sketch and of one of its rows.
-SKETCH_BITS, SLOT_BITS = 18, 12
+#: Names, about, in one bucket of counts; buckets are a power of two, and this many at least.
+BUCKET_NAMES, LEAST_BUCKETS = 1 << 21, 256
+#: Bytes of a name that are sent, besides the bits of its bucket.
+NAME_BYTES = 5
 #: Ranges of the hash whose counts make the suffix filter.
-RANGES = 16
+RANGES = 64
+#: Sets, and n-grams in them, that a block of a candidate group holds, about.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 19
+#: Sets that may share an n-gram for it to be counted pair by pair; above, it is counted as a row of a matrix product.
+SPARSE = 16
 
 _CODES = byte_codes(11)
 _WORD, _LOWER = class_table("blank"), lower_table()
@@ -66,6 +76,12 @@ def set_key(grams: np.ndarray) -> int:
     return int(mix64(np.array([total + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
+def range_counts(grams: np.ndarray) -> bytes:
+    """Counts in RANGES ranges of the hash, 255 at most: that only lowers the bound."""
+    counts = np.bincount((grams >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     """A set of n that links shares at least ceil(n percent / 100) n-grams."""
     return n - (-(-n * percent // 100)) + 1
@@ -78,187 +94,227 @@ def passes(nx, px, ny, py, percent: int):
     return (100 * short >= percent * long_) & (1 + np.minimum(nx - px, ny - py) - 1 >= need)
 
 
-_SETS = "doc_id long, n long, key long, ranges array<int>, slot int, counts binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("ranges", pa.list_(pa.int32())), ("slot", pa.int32()), ("counts", pa.binary())])
+_CHUNK = "chunk long, ids array<long>, keys array<long>, counts array<long>, payload binary, sizes array<long>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64())] + [(c, pa.list_(pa.int64())) for c in ("ids", "keys", "counts")] + [("payload", pa.binary()), ("sizes", pa.list_(pa.int64()))])
 
 
-def _hash_sets(gram: int):
+def _chunks(gram: int):
+    """Chunks of documents with the names and sizes of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        task, made = TaskContext.get().partitionId(), 0
         for b in batches:
-            n, keys, ranges, some = [], [], [], []
-            for grams in document_sets(b.column(1), gram):
-                n.append(len(grams))
-                keys.append(set_key(grams))
-                ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).astype(np.int32))
-                some.append(grams)
-                if sum(map(len, some[-64:])) > 1 << 18 or len(some) > 256:
-                    sketch += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                    some = []
-            if some:
-                sketch += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=_SETS_ARROW)
-        parts = [x.tobytes() for x in sketch.reshape(-1, 1 << SLOT_BITS)]
-        rows = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.list_(pa.int32())), pa.array(range(rows), pa.int32()), pa.array(parts, pa.binary())], schema=_SETS_ARROW)
+            ids = b.column(0).to_pylist()
+            for first, last, data, offsets in byte_blocks(b.column(1)):
+                sets = list(document_sets(pa.array([data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary()), gram))
+                row = (task << 32 | made, ids[first:last], [set_key(x) for x in sets], [len(x) for x in sets], data.tobytes(), np.diff(offsets))
+                made += 1
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK_ARROW)], schema=_CHUNK_ARROW)
 
     return run
 
 
-def _sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+def _read_chunks(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple]:
+    """(chunk, keys, sets, texts, the distinct n-grams in order, how often each stands, answers by bucket)."""
     for b in batches:
-        for slot, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(counts, np.int64)
-            sums[slot] = sums[slot] + x if slot in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "counts"])
+        for row in range(b.num_rows):
+            x = {name: b.column(i)[row] for i, name in enumerate(b.schema.names)}
+            offsets = np.concatenate([[0], np.cumsum(np.array(x["sizes"].as_py(), np.int64))])
+            data = np.frombuffer(x["payload"].as_buffer(), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+            texts = pa.array([data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())
+            sets = list(document_sets(texts, gram))
+            grams, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            answers = {a["bucket"]: a["levels"] for a in x["answers"].as_py() or []} if "answers" in x else {}
+            yield x["chunk"].as_py(), x["keys"].as_py(), sets, texts, grams, counts, answers
 
 
-_PREFIX = "gram long, key long, n int, pos int"
+_NAMES = "bucket int, chunk long, names binary, counts binary"
 
 
-def _prefixes(gram: int, percent: int, sketch: np.ndarray):
+def _send_names(gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple] = []
-        size = 0
+        for chunk, _, _, _, grams, counts, _ in _read_chunks(batches, gram):
+            few = np.minimum(counts, 255).astype(np.uint8)
+            rows = [(k, raw, few[i:j].tobytes()) for k, i, j, raw in pack(grams, buckets, NAME_BYTES)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "chunk", "names", "counts"]
+            )
 
-        def out() -> pa.RecordBatch:
-            nonlocal held, size
-            arrays = [np.concatenate([h[i] for h in held]) for i in range(4)]
-            held, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(arrays[0].view(np.int64)), *(pa.array(a) for a in arrays[1:])], names=["gram", "key", "n", "pos"])
+    return run
 
-        for b in batches:
-            for grams in document_sets(b.column(0), gram):
-                if not len(grams) or (key := set_key(grams)) in seen:
-                    continue
-                seen.add(key)
-                rare = np.argsort(sketch[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                k = prefix_length(len(grams), percent)
-                held.append((grams[rare[:k]], np.full(k, key, np.int64), np.full(k, len(grams), np.int32), np.arange(k, dtype=np.int32)))
-                size += k
-                if size > 200_000:
-                    yield out()
-        if held:
-            yield out()
 
-    return run
+def levels(totals: np.ndarray) -> np.ndarray:
+    """0 for an n-gram of one document, then one more each time the count doubles, 15 at most."""
+    return np.minimum(15, np.ceil(np.log2(np.maximum(totals, 1)))).astype(np.uint8)
+
+
+def _count_names(frame: pd.DataFrame) -> pd.DataFrame:
+    parts = [unpack(x, NAME_BYTES) for x in frame["names"]]
+    names, counts = np.concatenate(parts), np.frombuffer(b"".join(frame["counts"]), np.uint8)
+    order = np.argsort(names, kind="stable")
+    ordered = names[order]
+    group = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    level = np.empty(len(names), np.uint8)
+    level[order] = levels(np.bincount(group, weights=counts[order]))[group]
+    cuts = np.cumsum([len(x) for x in parts])[:-1]
+    packed = []
+    for own in np.split(level, cuts):
+        own = np.concatenate([own, np.zeros(len(own) % 2, np.uint8)])
+        packed.append((own[::2] << 4 | own[1::2]).tobytes())
+    return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "levels": packed})
 
 
-_SHARED = "gram long, key long, n int, pos int, first long"
+_PREFIX = "gram long, key long, n int, pos int, ranges binary, text binary"
+_PREFIX_ARROW = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("ranges", pa.binary()), ("text", pa.binary())])
 
 
-def _shared(percent: int):
-    """From rows ordered by (gram, key): those whose n-gram more than one class has; ``first`` is the first class of the
-    n-gram where the filters let it pass."""
+def _prefixes(gram: int, percent: int, buckets: int):
+    """Prefix n-grams that more than one document has, with their places; and, once, the text of a class that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None  # first row of the current n-gram
-        shown = False  # whether it has been returned
-        last_key = None
-        for b in batches:
-            gram, key, n, pos = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(gram):
-                continue
-            fresh = np.ones(len(gram), np.bool_)
-            fresh[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])
-            if head is not None and gram[0] == head[0] and key[0] == last_key:
-                fresh[0] = False
-            last_key_next = key[-1]
-            gram, key, n, pos = gram[fresh], key[fresh], n[fresh], pos[fresh]
-            if not len(gram):
+        seen: set[int] = set()
+        for chunk, keys, sets, texts, grams, counts, answers in _read_chunks(batches, gram):
+            level = np.zeros(len(grams), np.uint8)
+            for k, i, j, _ in pack(grams, buckets, 0):
+                both = np.frombuffer(answers[k], np.uint8)
+                level[i:j] = np.stack([both >> 4, both & 15], axis=1).ravel()[: j - i]
+            found: list[tuple] = []
+            for doc, (key, own) in enumerate(zip(keys, sets)):
+                if not len(own) or key in seen:
+                    continue
+                seen.add(key)
+                rank = level[np.searchsorted(grams, own)]
+                order = np.argsort(rank, kind="stable")[: prefix_length(len(own), percent)]
+                shared = np.flatnonzero(rank[order])
+                if len(shared):
+                    found.append((own[order[shared]], shared, key, len(own), range_counts(own), texts[doc].as_py()))
+            if not found:
                 continue
-            last_key = last_key_next
-            going = head is not None and gram[0] == head[0]
-            starts = np.ones(len(gram), np.bool_)
-            starts[1:] = gram[1:] != gram[:-1]
-            if going:
-                gram, key, n, pos = (np.concatenate([[h], a]).astype(a.dtype) for h, a in zip(head, (gram, key, n, pos)))
-                starts = np.concatenate([[True], starts])
-                starts[1] = False
-            at = np.flatnonzero(starts)
-            group = np.cumsum(starts) - 1
-            many = np.bincount(group)[group] > 1
-            if going and shown:
-                many[0] = False
-            first = at[group]
-            good = many & (first != np.arange(len(gram))) & passes(n.astype(np.int64), pos, n[first].astype(np.int64), pos[first], percent)
-            open_ = at[-1]
-            head, shown = (gram[open_], key[open_], n[open_], pos[open_]), bool(many[open_] or (going and shown and open_ == 0))
-            if many.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[many]), pa.array(key[many]), pa.array(n[many]), pa.array(pos[many]), pa.array(key[first][many], pa.int64(), mask=~good[many])], names=["gram", "key", "n", "pos", "first"]
-                )
+            times = [len(f[0]) for f in found]
+            of = np.repeat(np.arange(len(found)), times)
+            ranges = pa.array([f[4] for f in found], pa.binary()).take(pa.array(of))
+            columns = [np.concatenate([f[0] for f in found]).view(np.int64), np.repeat([f[2] for f in found], times), np.repeat([f[3] for f in found], times), np.concatenate([f[1] for f in found])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _PREFIX_ARROW)), ranges, pa.nulls(len(of), pa.binary())], schema=_PREFIX_ARROW)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([f[5] for f in found], pa.binary())], schema=_PREFIX_ARROW)
 
     return run
 
 
-def _crossing(percent: int):
-    """From rows ordered by gram: pairs of classes in two components that share an n-gram and pass the filters."""
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, n, pos, root = (np.concatenate([r[i] for r in rows]) for i in range(1, 5))
-        if len(key) < 2 or (root == root[0]).all():
-            return
-        order = np.argsort(n, kind="stable")  # sets of like size are neighbours
-        key, n, pos, root = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
-        stop = np.searchsorted(n, 100 * n // percent, side="right")
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        size = 0
-        for i in range(len(key) - 1):
-            j = slice(i + 1, stop[i])
-            good = (root[j] != root[i]) & passes(n[i], pos[i], n[j], pos[j], percent)
-            if good.any():
-                right.append(key[j][good])
-                left.append(np.full(len(right[-1]), key[i]))
-                size += len(right[-1])
-            if size > 200_000 or (size and i == len(key) - 2):
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                left, right, size = [], [], 0
+def candidate_forest(key: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that pass all filters, among classes that share one n-gram."""
+    _, once = np.unique(key, return_index=True)  # a class may come from several tasks
+    key, n, pos, ranges = key[once], n[once], pos[once], ranges[once]
+    order = np.argsort(n, kind="stable")  # sets that pass the length filter are neighbours
+    key, n, pos, ranges = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), ranges[order].astype(np.int16)
+    stop = np.searchsorted(n, 100 * n // percent, side="right")
+    part, left, edges = np.arange(len(key)), len(key), []
+    for i in range(len(key) - 1):
+        j = np.arange(i + 1, stop[i])
+        j = j[(part[j] != part[i]) & passes(n[i], pos[i], n[j], pos[j], percent)]
+        if not len(j):
+            continue
+        need = -(-(n[i] + n[j]) * percent // (100 + percent))
+        j = j[np.abs(ranges[j] - ranges[i]).sum(axis=1) <= n[i] + n[j] - 2 * need]
+        while len(j):
+            edges.append((int(key[i]), int(key[j[0]])))
+            part[part == part[j[0]]] = part[i]
+            j = j[part[j] != part[i]]
+            left -= 1
+        if left == 1:
+            break
+    return edges
+
+
+def _forests(percent: int):
+    """Of rows ordered by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        edges: set[tuple[int, int]] = set()
+
+        def close() -> None:
+            if held and sum(len(h[0]) for h in held) > 1:
+                edges.update(candidate_forest(*(np.concatenate([h[i] for h in held]) for i in range(1, 5)), percent))
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            edges.clear()
+            return found
+
         for b in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not b.num_rows:
                 continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns[:4]] + [string_buffer(b.column(4))[0].reshape(-1, RANGES)]
             cuts = np.concatenate([[0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, [b.num_rows]])
             for i, j in zip(cuts[:-1], cuts[1:]):
-                part = [c[i:j] for c in columns]
-                if held and held[0][0][0] != part[0][0]:
-                    yield from pairs(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs(held)
+                if held and held[0][0][0] != columns[0][i]:
+                    close()
+                held.append([c[i:j] for c in columns])
+            if len(edges) > 100_000:
+                yield out()
+        close()
+        yield out()
 
     return run
 
 
-def _own_sets(gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            packed = [x.tobytes() if set_key(x) == k else None for k, x in zip(keys, document_sets(b.column(1), gram))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "grams"])
-
-    return run
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets."""
+    grams = np.concatenate([*sets, *others])
+    owner = np.concatenate([np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.repeat(np.arange(len(others)) + len(sets), [len(x) for x in others])])
+    order = np.lexsort((owner, grams))
+    grams, owner = grams[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(grams)]]))
+    total = np.zeros(len(sets) * len(others), np.int64)
+    size_of = np.repeat(sizes, sizes)
+    for gap in range(1, min(SPARSE, int(sizes.max(initial=1)))):  # few sets have it: pair by pair
+        at = np.flatnonzero((grams[gap:] == grams[:-gap]) & (size_of[gap:] <= SPARSE))
+        a, b = owner[at], owner[at + gap]
+        good = (a < len(sets)) & (b >= len(sets))
+        total += np.bincount(a[good] * len(others) + b[good] - len(sets), minlength=len(total))
+    total = total.reshape(len(sets), len(others)).astype(np.float32)
+    dense = np.flatnonzero(sizes > SPARSE)
+    for k in range(0, len(dense), 2048):  # many sets have it: a matrix product, exact below 2**24
+        own = dense[k : k + 2048]
+        column = np.repeat(np.arange(len(own)), sizes[own])
+        rows = owner[np.repeat(starts[own] - np.concatenate([[0], np.cumsum(sizes[own])[:-1]]), sizes[own]) + np.arange(sizes[own].sum())]
+        table = np.zeros((len(sets) + len(others), len(own)), np.float32)
+        table[rows, column] = 1
+        total += table[: len(sets)] @ table[len(sets) :].T
+    return total.astype(np.int64)
+
+
+def _link_unit(percent: int):
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        left = frame[frame["block"] == first]
+        right = frame[frame["block"] == second]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+        x, y = ([np.frombuffer(g, np.uint64) for g in f["grams"]] for f in (left, right))
+        both = overlaps(x, y)
+        nx, ny = np.array([len(g) for g in x]), np.array([len(g) for g in y])
+        good = 100 * both >= percent * (nx[:, None] + ny[None] - both)
+        kx, ky = left["key"].to_numpy(), right["key"].to_numpy()
+        if first == second:
+            good &= kx[:, None] < ky[None]
+        a, b = np.nonzero(good)
+        keys, place = np.unique(np.concatenate([kx, ky]), return_inverse=True)
+        root = forest(len(keys), place[: len(kx)][a], place[len(kx) :][b])
+        moved = np.flatnonzero(root != np.arange(len(keys)))
+        return pd.DataFrame({"a": keys[moved], "b": keys[root[moved]]})
+
+    return link
 
 
-def _verify(percent: int):
+def _own_sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = [], []
-            for x, y, gx, gy in zip(*(col.to_pylist() for col in b.columns)):
-                gx, gy = np.frombuffer(gx, np.uint64), np.frombuffer(gy, np.uint64)
-                both = len(np.intersect1d(gx, gy, assume_unique=True))
-                if 100 * both >= percent * (len(gx) + len(gy) - both):
-                    a.append(x), c.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            packed = [x.tobytes() for x in document_sets(b.column(1), gram)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["key", "grams"])
 
     return run
 
@@ -267,40 +323,32 @@ def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    docs = docs.select("doc_id", "text")
-    hashed = scratch.write(docs.mapInArrow(_hash_sets(gram), _SETS), "sets")
-    slots = hashed.where("slot is not null").select("slot", "counts").withColumn("salt", F.spark_partition_id() % 64)
-    once = slots.repartition("slot", "salt").select("slot", "counts").mapInArrow(_sum_slots, "slot int, counts binary")
-    sums = once.repartition("slot").mapInArrow(_sum_slots, "slot int, counts binary").collect()  # 2 MB, whatever the input
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in sums:
-        sketch[r["slot"] << SLOT_BITS : (r["slot"] + 1) << SLOT_BITS] += np.frombuffer(bytes(r["counts"]), np.int64)
-    sketch = np.minimum(sketch, (1 << 31) - 1).astype(np.int32)
-
-    sets = hashed.where("slot is null").select("doc_id", "n", "key", "ranges")
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.count("*").alias("copies"))
-    classes = scratch.write(classes, "classes")
-
-    rows = docs.select("text").mapInArrow(_prefixes(gram, percent, sketch), _PREFIX)
-    shared = rows.repartition("gram").sortWithinPartitions("gram", "key").mapInArrow(_shared(percent), _SHARED)
-    shared = scratch.write(shared, "shared")
-
-    met = shared.where("first is not null").groupBy("key", "first").agg(F.count("*").alias("c"))
-    met = met.groupBy("key").agg(F.max(F.struct("c", "first")).alias("m")).select(F.least("key", "m.first").alias("a"), F.greatest("key", "m.first").alias("b")).distinct()
-    pairs = scratch.write(_suffix_filter(met, classes, percent), "pairs1")
-    edges = scratch.write(_links(scratch, docs, classes, pairs, gram, percent, "1"), "edges1")
-    roots = connected_components(scratch, edges, "first")
-
-    placed = shared.select("gram", "key", "n", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("gram", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
-    crossing = placed.repartition("gram").sortWithinPartitions("gram").mapInArrow(_crossing(percent), "a long, b long").distinct()
-    crossing = _suffix_filter(crossing.join(pairs, ["a", "b"], "left_anti"), classes, percent)
-    crossing = scratch.write(crossing, "pairs2")
-    if crossing.limit(1).count():
-        more = _links(scratch, docs, classes, crossing, gram, percent, "2")
-        roots = connected_components(scratch, edges.union(more), "second")
-
-    named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    chunks = scratch.write(docs.select("doc_id", "text").mapInArrow(_chunks(gram), _CHUNK), "chunks")
+    zipped = chunks.select(F.explode(F.arrays_zip("ids", "keys", "counts")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
+    sets = scratch.write(zipped, "sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 << max(LEAST_BUCKETS.bit_length() - 1, (total // BUCKET_NAMES).bit_length())
+
+    texts = chunks.select("chunk", "keys", "payload", "sizes")
+    names = texts.mapInArrow(_send_names(gram, buckets), _NAMES)
+    answers = scratch.write(names.groupBy("bucket").applyInPandas(_count_names, "chunk long, bucket int, levels binary"), "levels")
+    scratch.release()
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers"))
+    found = texts.join(answers.hint("shuffle_hash"), "chunk", "left").mapInArrow(_prefixes(gram, percent, buckets), _PREFIX)
+    found = scratch.write(found, "prefixes")
+    scratch.drop("chunks", "levels")
+    scratch.release()
+
+    rows = found.where("gram is not null").select("gram", "key", "n", "pos", "ranges")
+    pairs = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_forests(percent), "a long, b long")
+    groups = connected_components(scratch, pairs, "groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
+    own = found.where("text is not null").select("key", "text")
+    edges = scratch.write(_links(scratch, own, groups, sets, gram, percent), "links")
+    roots = connected_components(scratch, edges, "linked")
+    scratch.drop("prefixes")
+
+    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = scratch.write(named, "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     per_class = named.join(least, "root").select("key", "component_id")
@@ -308,21 +356,14 @@ def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets can still overlap enough: counts in ranges of the hash bound the difference from below."""
-    a, b = (classes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("ranges").alias(f"r{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return both.where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b")
-
-
-def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, pairs: DataFrame, gram: int, percent: int, name: str) -> DataFrame:
-    """Pairs that link, by exact intersection of their sets, made once more from one text of each class."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = needed.join(classes.select("key", F.col("rep").alias("doc_id")), "key")
-    texts = docs.withColumnRenamed("doc_id", "id").join(needed, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text")
-    sets = texts.mapInArrow(_own_sets(gram), "key long, grams binary").where("grams is not null").dropDuplicates(["key"])
-    sets = scratch.write(sets, f"own{name}")
-    a, b = (sets.select(F.col("key").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long")
+def _links(scratch: Scratch, texts: DataFrame, groups: DataFrame, sets: DataFrame, gram: int, percent: int) -> DataFrame:
+    """A forest of the links inside candidate groups (key, group), from sets made again of one text of each class."""
+    sizes = sets.groupBy("key").agg(F.first("n").alias("n"))
+    members = groups.join(sizes, "key")
+    size = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    members = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    members = scratch.write(members.select("key", "group", "blocks", "block"), "members")
+    own = texts.join(members.select("key"), "key").dropDuplicates(["key"]).mapInArrow(_own_sets(gram), "key long, grams binary")
+    dealt = own.join(members, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "grams")
+    return dealt.groupBy("group", "i", "j").applyInPandas(_link_unit(percent), "a long, b long")

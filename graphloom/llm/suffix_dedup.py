@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Scratch, mix64, power_table, string_buffer
+from .common import BLOCK_BYTES, Scratch, mix64, pack, power_table, string_buffer, unpack
 
 LENGTH = 400
 #: The prime of the difference cover.
@@ -90,22 +90,6 @@ def sampled(offsets: np.ndarray, v: int, cover: np.ndarray, size: int) -> np.nda
     return at[at + size <= offsets[np.searchsorted(offsets, at, side="right")]]
 
 
-def pack(names: np.ndarray, buckets: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(bucket, first, last, bytes) of ascending names; ``width`` bytes of each are sent."""
-    bits = buckets.bit_length() - 1
-    cuts = np.searchsorted(names, np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bits))
-    cuts = np.concatenate([[0], cuts, [len(names)]])
-    raw = (names << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-        yield int(k), int(cuts[k]), int(cuts[k + 1]), np.ascontiguousarray(raw[cuts[k] : cuts[k + 1]]).tobytes()
-
-
-def unpack(raw: bytes, width: int) -> np.ndarray:
-    x = np.zeros((len(raw) // width, 8), np.uint8)
-    x[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return x.view(">u8").ravel().astype(np.uint64)
-
-
 def repeated(x: np.ndarray) -> np.ndarray:
     """Which values stand more than once."""
     order = np.argsort(x, kind="stable")
@@ -380,8 +364,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, wi
 
     one = scratch.write(exchange(chunks, work.send_tuples, work.mark_tuples).mapInArrow(work.keep_marked, _CHUNK), "marked")
     scratch.drop("chunks")
+    scratch.release()
     marked = one.where("chunk is not null").select("chunk", "ids", "sizes", "payload", "places", "open")
     two = scratch.write(exchange(marked, work.send_contexts, work.mark_contexts).mapInArrow(work.settle, _CHUNK), "settled")
+    scratch.release()
     settled = two.select("chunk", "ids", "sizes", "payload", "places", "open")
     three = scratch.write(exchange(settled, work.send_starts, work.mark_starts).mapInArrow(work.cut, _CHUNK), "cut")
     scratch.drop("settled")
