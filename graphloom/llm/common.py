@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scratch import Scratch
+from ..plans import scratch as plans
 
 #: Bytes of text that one numpy block holds, unless one document alone is longer.
 BLOCK_BYTES = 1 << 20
@@ -23,7 +23,25 @@ BLOCK_BYTES = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of an Arrow batch: a worker holds a few of them beside what an operator needs.
+BATCH_BYTES = "4m"
+
+
+class Scratch(plans.Scratch):
+    """Scratch tables of an operator whose Arrow batches are small, so that workers stay within an executor's memory."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        super().__init__(spark, name)
+        small_batches(spark)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents may be long, so batches are bounded by bytes; a setting of the session that only affects their size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
