@@ -28,7 +28,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier accepts."""
     model = langid.train(docs.where(id_remainder("doc_id", 5) != 0))
-    return langid.identify(docs, model, tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    return langid.identify(docs, model, tuple(docs.columns), "__").where("not __rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

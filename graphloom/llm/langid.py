@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import string_buffer
 
@@ -181,25 +182,19 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     return fit([(lang, np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(s, np.float32)) for lang, i, s in rows])
 
 
-PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
-
-
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every whole text, with the columns named in ``keep`` before them."""
-    from pyspark.sql import types as T
-
-    fields = [docs.schema[c] for c in keep]
-    schema = T.StructType(fields + T._parse_datatype_string(PREDICTED).fields[len({"doc_id"} & set(keep)) :])
-    rows = docs.select(*keep, *([] if "doc_id" in keep else ["doc_id"]), F.col("text").alias("__text"))
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns named in ``keep``, and lang_pred, score, rejected of every whole text; their names begin with ``prefix``."""
+    names = [prefix + c for c in ("lang_pred", "score", "rejected")]
+    found = [T.StructField(c, t) for c, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
+    rows = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = string_buffer(b.column(b.num_columns - 1))
-            found = [model.predict(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            labels = pa.array([x for x, _ in found], pa.string())
-            scores = pa.array([p for _, p in found], pa.float64())
-            rejected = pa.array([x == UNKNOWN or p < model.threshold for x, p in found], pa.bool_())
-            names = [*b.schema.names[:-1], "lang_pred", "score", "rejected"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], labels, scores, rejected], names=names)
-
-    return rows.mapInArrow(run, schema)
+            predicted = [model.predict(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+            labels = pa.array([x for x, _ in predicted], pa.string())
+            scores = pa.array([p for _, p in predicted], pa.float64())
+            rejected = pa.array([x == UNKNOWN or p < model.threshold for x, p in predicted], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], labels, scores, rejected], names=[*b.schema.names[:-1], *names])
+
+    return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + found))

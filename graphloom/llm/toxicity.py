@@ -198,6 +198,8 @@ class Scorer:
         return sum_, n
 
     def score(self, data: bytes) -> tuple[float, int]:
+        if not self.model.terms:
+            return 0.0, 0
         total, n = self.total(data)
         z = self.model.slope * math.log1p(total) + self.model.offset
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0, n
