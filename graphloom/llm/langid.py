@@ -33,6 +33,8 @@ EPOCHS = 6
 SEGMENT = 1 << 18
 #: Share of the texts of known language, unseen in training, that the threshold may reject.
 REJECTED_SHARE = 0.002
+#: Calibrated probability from which a text is never rejected.
+CERTAIN = 0.4
 
 
 def _fold_table() -> np.ndarray:
@@ -148,7 +150,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
             if loss < best:
                 best, temperature = loss, float(t)
     confidence = [softmax(z / temperature).max() for z in logits]
-    threshold = min(0.5, float(np.quantile(confidence, REJECTED_SHARE))) if confidence else 0.0
+    threshold = min(CERTAIN, float(np.quantile(confidence, REJECTED_SHARE))) if confidence else 0.0
     return Model(labels, table, bias, temperature, threshold)
 
 

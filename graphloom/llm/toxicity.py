@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, class_table, lower_table, mix64, string_buffer
+from .common import Scratch, class_table, mix64, string_buffer
 
 #: Labelled texts, about, of each class from which terms and weights are learned.
 SAMPLE_PER_CLASS = 3000
@@ -41,7 +41,12 @@ REPORTING = frozenset("said says say wrote writes quoted quote quotes quoting ca
 ADDRESS = frozenset("you your youre yourself u ur tu te toi vous du dich dir ihr tú ti usted ustedes".split())
 QUOTED, ADDRESSED = 0.4, 1.3
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_TABLE = bytes(b if keep else 0x20 for b, keep in zip(lower_table(), class_table("alnum")))
+_TABLE = bytes(b if keep else 0x20 for b, keep in zip(range(256), class_table("alnum")))
+
+
+def folded_words(data: bytes) -> list[bytes]:
+    """Words of digits, letters and non-ASCII characters, all in lower case."""
+    return data.decode("utf-8", "replace").lower().encode().translate(_TABLE).split()
 
 
 @dataclass(frozen=True)
@@ -171,14 +176,14 @@ class Scorer:
         """The weight of all terms in a text, with their contexts, and their number."""
         cache, weight = self.cache, self.weight
         hits = set()
-        for w in set(data.translate(_TABLE).split()):
+        for w in set(folded_words(data)):
             x = cache.get(w)
             if x if x is not None else weight(w):
                 hits.add(w)
         if not hits:
             return 0.0, 0
-        text = data.decode("utf-8", "replace")
-        words = list(_WORD.finditer(re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+        text = data.decode("utf-8", "replace").lower()
+        words = list(_WORD.finditer(text))
         quotes = [m.start() for m in re.finditer('["“”«»]', text)]
         at, opened, sum_, n = 0, 0, 0.0, 0
         for i, m in enumerate(words):
@@ -242,7 +247,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = string_buffer(b.column(1))
         keys = []
         for i, j in zip(offsets[:-1], offsets[1:]):
-            words = np.array([hash_word(w) for w in data[i:j].tobytes().translate(_TABLE).split()], np.uint64)
+            words = np.array([hash_word(w) for w in folded_words(data[i:j].tobytes())], np.uint64)
             grams = words
             for k in range(1, min(4, len(words))):
                 grams = grams[:-1] * np.uint64(31) + words[k:]
@@ -269,7 +274,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = string_buffer(b.column(1))
         for y, i, j in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:]):
-            counts[y].update(set(data[i:j].tobytes().translate(_TABLE).split()))
+            counts[y].update(set(folded_words(data[i:j].tobytes())))
             if len(counts[0]) + len(counts[1]) > 300_000:
                 yield rows()
     yield rows()
