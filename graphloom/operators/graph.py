@@ -51,10 +51,14 @@ def compact_vertex_ids(edges: DataFrame) -> DataFrame:
     return found.select("vid", F.col("idx").cast("int").alias("idx"))
 
 
-def compact_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """dst_idx, src_idx of the distinct edges.  Spark broadcasts the dictionary where it is small and sorts otherwise."""
+def compact_edges(edges: DataFrame, vertices: DataFrame, unique: bool = False) -> DataFrame:
+    """dst_idx, src_idx of the distinct edges; ``unique``: they are distinct already.
+
+    Spark broadcasts the dictionary where it is small and sorts otherwise.
+    """
     s, d = (vertices.select(F.col("vid").alias(c), F.col("idx").alias(f"{c}_idx")) for c in ("src", "dst"))
-    return distinct_edges(edges).join(s, "src").join(d, "dst").select("dst_idx", "src_idx")
+    edges = edges if unique else distinct_edges(edges)
+    return edges.join(s, "src").join(d, "dst").select("dst_idx", "src_idx")
 
 
 def dictionary_misses(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ class Graph:
         scratch = Scratch(raw_edges.sparkSession, "graph")
         distinct = scratch.write(G.distinct_edges(raw_edges), "distinct")
         vertices = scratch.write(G.compact_vertex_ids(distinct), "vertices")
-        edges = scratch.write(G.compact_edges(distinct, vertices), "edges")
+        edges = scratch.write(G.compact_edges(distinct, vertices, unique=True), "edges")
+        scratch.drop("distinct")
         out_degrees = scratch.write(G.out_degree(edges, vertices), "out_degrees")
         return cls(vertices, edges, out_degrees, vertices.count(), scratch)
 
