@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import dense_index
+
 
 def initial_state(out_degrees: DataFrame, n: int) -> DataFrame:
     return out_degrees.select("idx", F.col("degree").alias("out_degree"), F.lit(1.0 / n).alias("rank"))
@@ -28,14 +30,14 @@ def gather_sum(state: DataFrame, edges: DataFrame) -> DataFrame:
 def hub_slice_partials(state: DataFrame, edges: DataFrame, edge_slice_size: int) -> DataFrame:
     """idx, slice, partial: sums of the slices of hubs, in order of source.
 
-    Only the edges of hubs are ordered; a hub's slices are numbered by rank among its sources.
+    The edges of hubs are dealt out by range of destination and source, so a hub of any degree is spread over partitions,
+    and numbered there; a slice is a part of the numbers from its hub's first one on.
     """
-    from pyspark.sql import Window
-
     degree = edges.groupBy("dst_idx").agg(F.count("*").alias("n")).where(F.col("n") > edge_slice_size)
     own = edges.join(degree.select("dst_idx"), "dst_idx")
-    place = F.row_number().over(Window.partitionBy("dst_idx").orderBy("src_idx")) - 1
-    sliced = own.withColumn("slice", F.floor(place / edge_slice_size))
+    placed = dense_index(own, ["dst_idx", "src_idx"], "place")
+    first = placed.groupBy("dst_idx").agg(F.min("place").alias("first"))
+    sliced = placed.join(first, "dst_idx").withColumn("slice", F.floor((F.col("place") - F.col("first")) / edge_slice_size))
     sent = sliced.join(contribution(state).withColumnRenamed("idx", "src_idx"), "src_idx")
     return sent.groupBy(F.col("dst_idx").alias("idx"), "slice").agg(F.sum("contribution").alias("partial"))
 

@@ -79,7 +79,7 @@ ORACLES: dict[str, str] = {
     "compact_vertex_ids": f"{SUPPLY} SELECT vid, idx FROM v",
     "compact_edges": f"{SUPPLY} SELECT dst_idx, src_idx FROM c",
     "dictionary_misses": f"WITH {RAW} SELECT DISTINCT vid FROM (SELECT src AS vid FROM raw UNION ALL SELECT dst FROM raw) WHERE vid BETWEEN 1000000 AND 1999999",
-    "sorted_in_edges": f"{SUPPLY} SELECT dst_idx, src_idx, lag(src_idx) OVER (PARTITION BY dst_idx ORDER BY src_idx) AS previous FROM c",
+    "sorted_in_edges": f"{SUPPLY} SELECT dst_idx, src_idx, row_number() OVER (ORDER BY dst_idx, src_idx) - 1 AS place FROM c",
     "duplicate_summary": f"{SUPPLY} SELECT (SELECT count(*) FROM raw) AS input_edges, (SELECT count(*) FROM e) AS unique_edges, (SELECT count(*) FROM raw) - (SELECT count(*) FROM e) AS duplicate_edges",
     "self_loops": f"WITH {HOPS} SELECT DISTINCT src, dst FROM raw WHERE src = dst",
     "in_degree": f"{SUPPLY} SELECT idx, degree FROM ind",
@@ -90,6 +90,14 @@ ORACLES: dict[str, str] = {
     "dangling_vertices": f"{SUPPLY} SELECT idx FROM outd WHERE degree = 0",
     "hub_vertices": f"{SUPPLY} SELECT idx, degree FROM ind WHERE degree > 64",
     "graph_invariants": "SELECT unnest(['ids_ascending', 'ids_dense', 'edge_ends_in_range', 'edges_unique', 'in_degree_range', 'out_degree_range', 'in_degree_sum', 'out_degree_sum']) AS name, 0::BIGINT AS violations",
+    "graph_invariants_broken": f"""{SUPPLY}, bad AS (SELECT dst_idx, src_idx FROM c UNION ALL SELECT dst_idx, src_idx FROM c WHERE dst_idx % 50 = 0
+  UNION ALL SELECT dst_idx + (SELECT count(*) FROM v), src_idx FROM c WHERE src_idx % 70 = 1), high AS (SELECT degree + CASE WHEN idx % 10 = 0 THEN (SELECT count(*) FROM v) ELSE 0 END AS degree FROM ind)
+  SELECT 'ids_ascending' AS name, 0::BIGINT AS violations UNION ALL SELECT 'ids_dense', 0
+  UNION ALL SELECT 'edge_ends_in_range', count(*) FROM bad WHERE dst_idx >= (SELECT count(*) FROM v)
+  UNION ALL SELECT 'edges_unique', count(*) FROM (SELECT 1 FROM bad GROUP BY dst_idx, src_idx HAVING count(*) > 1)
+  UNION ALL SELECT 'in_degree_range', count(*) FROM high WHERE degree > (SELECT count(*) FROM v) UNION ALL SELECT 'out_degree_range', 0
+  UNION ALL SELECT 'in_degree_sum', abs((SELECT sum(degree) FROM high) - (SELECT count(*) FROM bad))::BIGINT
+  UNION ALL SELECT 'out_degree_sum', abs((SELECT sum(degree) FROM outd) - (SELECT count(*) FROM bad))::BIGINT""",
     "graph_manifest": f"""{SUPPLY} SELECT (SELECT count(*) FROM v) AS vertex_count, (SELECT count(*) FROM c) AS edge_count, 64::BIGINT AS edge_slice_size, 256::BIGINT AS max_task_edges, 16::BIGINT AS max_task_vertices,
   'removed' AS duplicate_edges, 'preserved' AS self_loops, 'signed-int32-ascending' AS vertex_ids""",
     "int32_domain_filter": r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey * 1000003 - 2147483648)::VARCHAR WHEN 1 THEN '0' || o_orderkey WHEN 2 THEN '-' || o_orderkey ELSE o_orderkey || ' ' END AS value FROM orders)
@@ -99,6 +107,10 @@ ORACLES: dict[str, str] = {
     "task_summary": f"""{TASKS} SELECT count(*) AS tasks, count(*) FILTER (tag = 1) AS ordinary, count(*) FILTER (tag = 2) AS slices,
   (coalesce(sum(b) FILTER (tag = 1), 0) + count(*) FILTER (tag = 2 AND b = 0))::BIGINT AS destinations, sum(edge_count)::BIGINT AS edges FROM tasks""",
     "task_validation": "SELECT unnest(['edge_gaps', 'destination_gaps', 'early_ends', 'limits']) AS name, 0::BIGINT AS violations",
+    "task_validation_broken": f"""{TASKS.replace("vertices = 16", "vertices = 4")},
+  later AS (SELECT *, lead(tag) OVER (ORDER BY a, CASE tag WHEN 2 THEN b ELSE 0 END) AS next_tag, lead(a) OVER (ORDER BY a, CASE tag WHEN 2 THEN b ELSE 0 END) AS next_a FROM tasks)
+  SELECT 'edge_gaps' AS name, 0::BIGINT AS violations UNION ALL SELECT 'destination_gaps', 0 UNION ALL SELECT 'limits', 0
+  UNION ALL SELECT 'early_ends', count(*) FROM later JOIN ind ON ind.idx = next_a WHERE tag = 1 AND next_tag = 1 AND b < 16 AND edge_count + degree <= 256""",
     "slice_histogram": f"{SUPPLY} SELECT ((degree + 63) // 64)::BIGINT AS slices, count(*) AS vertices FROM ind GROUP BY 1",
     "contribution": f"{ONE} SELECT idx, round(r / d, 12) AS contribution FROM s1 WHERE d > 0",
     "dangling_mass": f"{ONE} SELECT round(coalesce(sum(r) FILTER (d = 0), 0), 10) AS dangling FROM s1",

@@ -95,11 +95,9 @@ def dictionary_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sorted_in_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each edge with the source before it at its destination."""
-    from pyspark.sql import Window
-
+    """Each edge with its place in the order of destination and source."""
     edges = G.sorted_in_edges(supply_graph(spark, sf_dir).edges)
-    return edges.select("dst_idx", "src_idx", F.lag("src_idx").over(Window.partitionBy("dst_idx").orderBy("src_idx")).alias("previous"))
+    return G.dense_index(edges, ["dst_idx", "src_idx"], "place").select("dst_idx", "src_idx", "place")
 
 
 @query
@@ -156,6 +154,16 @@ def graph_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_invariants(g.vertices, g.edges, g.in_degrees(), g.out_degrees)
 
 
+@query
+def graph_invariants_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a graph with some edges twice, some ends out of range and some degrees too high."""
+    g = supply_graph(spark, sf_dir)
+    twice = g.edges.where("dst_idx % 50 = 0")
+    beyond = g.edges.where("src_idx % 70 = 1").select((F.col("dst_idx") + g.n).cast("int").alias("dst_idx"), "src_idx")
+    high = g.in_degrees().select("idx", (F.col("degree") + F.when(F.col("idx") % 10 == 0, g.n).otherwise(0)).alias("degree"))
+    return G.graph_invariants(g.vertices, g.edges.union(twice).union(beyond), high, g.out_degrees)
+
+
 @query
 def graph_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = supply_graph(spark, sf_dir)
@@ -196,6 +204,14 @@ def task_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.task_validation(T.task_partition(degrees, LIMITS), degrees, LIMITS)
 
 
+@query
+def task_validation_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of tasks cut for smaller limits, seen under larger ones: they end early."""
+    degrees = supply_graph(spark, sf_dir).in_degrees()
+    tasks = T.task_partition(degrees, T.TaskLimits(LIMITS.edge_slice_size, LIMITS.max_task_edges, 4))
+    return T.task_validation(tasks, degrees, LIMITS)
+
+
 @query
 def slice_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.slice_histogram(supply_graph(spark, sf_dir).in_degrees(), LIMITS.edge_slice_size)
