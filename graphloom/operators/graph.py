@@ -95,6 +95,11 @@ def degree_histogram(degrees: DataFrame) -> DataFrame:
     return degrees.groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
+def degree_statistics(degrees: DataFrame) -> DataFrame:
+    """least, most, mean, edges of a degree table."""
+    return degrees.agg(F.min("degree").alias("least"), F.max("degree").alias("most"), F.avg("degree").alias("mean"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"))
+
+
 def dangling_vertices(out_degrees: DataFrame) -> DataFrame:
     return out_degrees.where("degree = 0").select("idx")
 

@@ -87,6 +87,7 @@ ORACLES: dict[str, str] = {
     "out_degree_audit": f"{SUPPLY} SELECT idx, degree + 1 AS stored, degree AS counted FROM outd WHERE idx % 10 = 0",
     "degree_histogram_in": f"{SUPPLY} SELECT degree, count(*) AS vertices FROM ind GROUP BY 1",
     "degree_histogram_out": f"{SUPPLY} SELECT degree, count(*) AS vertices FROM outd GROUP BY 1",
+    "degree_statistics": f"{SUPPLY} " + " UNION ALL ".join(f"SELECT '{d}' AS direction, min(degree) AS least, max(degree) AS most, round(sum(degree)::DOUBLE / count(*), 10) AS mean, sum(degree)::BIGINT AS edges FROM {d}d" for d in ("in", "out")),
     "dangling_vertices": f"{SUPPLY} SELECT idx FROM outd WHERE degree = 0",
     "hub_vertices": f"{SUPPLY} SELECT idx, degree FROM ind WHERE degree > 64",
     "graph_invariants": "SELECT unnest(['ids_ascending', 'ids_dense', 'edge_ends_in_range', 'edges_unique', 'in_degree_range', 'out_degree_range', 'in_degree_sum', 'out_degree_sum']) AS name, 0::BIGINT AS violations",

@@ -138,6 +138,14 @@ def degree_histogram_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degree_histogram(supply_graph(spark, sf_dir).out_degrees)
 
 
+@query
+def degree_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of both directions."""
+    g = supply_graph(spark, sf_dir)
+    found = [G.degree_statistics(d).withColumn("direction", F.lit(name)) for name, d in (("in", g.in_degrees()), ("out", g.out_degrees))]
+    return found[0].unionByName(found[1]).select("direction", "least", "most", F.round("mean", DIGITS).alias("mean"), "edges")
+
+
 @query
 def dangling_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dangling_vertices(supply_graph(spark, sf_dir).out_degrees)

@@ -36,3 +36,12 @@ def test_entry(spark, sf_dir):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 360
     assert queries.rank_csv_text(spark, sf_dir).count() == 101
+
+
+def test_traced_graphs(spark, sf_dir):
+    from graphloom.plans.pagerank import rank
+    from graphloom.sources import tables
+
+    for edges, k, c in ((tables.supply(spark, sf_dir), 35, 2), (tables.hops(spark, sf_dir), 7, 1), (tables.trade_ge(spark, sf_dir, 25), 24, 2)):
+        report, _ = rank(edges)
+        assert (report.status, report.iterations, report.residual_checks) == ("converged", k, c)
