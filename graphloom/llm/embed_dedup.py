@@ -29,6 +29,8 @@ from .common import Scratch, connected_components, forest, hash_sample
 
 #: Vectors, about, to which the index is fitted; every vector is indexed.
 SAMPLE_VECTORS = 8192
+#: Vectors of one length in the sample, at least, to which an index is fitted.
+LEAST_VECTORS = 64
 #: Members, about, of an inverted list, up to MAX_LISTS lists; and of a block, of which a list has as many as it needs.
 LIST_SIZE = 2048
 MAX_LISTS = 1024
@@ -170,10 +172,14 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     size = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     lists = min(MAX_LISTS, max(1, math.ceil(size["n"] / (LIST_SIZE * max(1, size["labels"])))))
-    sample: dict[int, list] = {}
-    for r in hash_sample(classes.select("cid", "embedding"), "cid", SAMPLE_VECTORS, size["n"]).collect():
-        sample.setdefault(len(r["embedding"]), []).append((r["cid"], r["embedding"]))
-    indexes = {dim: Index.fit(unit_vectors(np.array([v for _, v in sorted(found)], np.float32)), lists) for dim, found in sample.items() if len(found) >= 64}
+    sample = hash_sample(classes.select("cid", "embedding"), "cid", SAMPLE_VECTORS, size["n"]).toArrow().sort_by("cid").column("embedding").combine_chunks()
+    dims = np.diff(sample.offsets.to_numpy())
+    flat, starts = sample.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
+    indexes = {}
+    for dim in np.unique(dims):
+        rows_of = np.flatnonzero(dims == dim)
+        if len(rows_of) >= LEAST_VECTORS:  # a rare length has one list, and every pair of it is ranked
+            indexes[int(dim)] = Index.fit(unit_vectors(np.stack([flat[starts[i] : starts[i] + dim] for i in rows_of])), lists)
     radius = math.sqrt(2 - 2 * least) + 1e-6
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

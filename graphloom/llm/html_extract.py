@@ -37,8 +37,13 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments reply replies respond discussion disqus "
-    "share sharing social related recommended recommendations pagination pager widget toolbar copyright skip hidden".split()
+    "share sharing social related recommended recommendations pagination pager widget toolbar copyright skip hidden form search".split()
 )
+#: Of these elements only whole class names count, and only names for what stands beside an article.
+WHOLE_TAGS = frozenset("html body article main".split())
+WHOLE_NAMES = frozenset("comment comments reply respond teaser related promo ad advert sponsored".split())
+#: A class that begins so tells of an element's surroundings, not of itself.
+ABOUT_OTHERS = frozenset("has no not with without is".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -46,17 +51,25 @@ _NAME = re.compile(r"[a-z]+")
 
 
 def _dropped(tag: str, attributes: str) -> bool:
+    """Whether an element is never content, by its name and attributes."""
     if tag in DROPPED_TAGS:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip():
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_NAME.findall(value)):
-            return True
-        if name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id"):
+            for own in value.split():
+                words = _NAME.findall(own)
+                if tag in WHOLE_TAGS and own in WHOLE_NAMES:
+                    return True
+                if tag not in WHOLE_TAGS and words and words[0] not in ABOUT_OTHERS and not DROPPED_WORDS.isdisjoint(words):
+                    return True
+        elif tag in ("html", "body"):
+            continue
+        elif name == "role" and value in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
+        elif name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
@@ -65,7 +78,7 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
     """("text", text, in article) and ("tag", name, in article) in order; a dropped subtree is the tag ``-``."""
     out: list[tuple[str, str, bool]] = []
     at, article, end = 0, 0, len(page)
-    lower: str | None = None
+    marks = "article" if re.search(r"<article[\s>]", page, re.I) else "main"
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -76,13 +89,12 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         tag, closing = tag.lower(), m[1] == "/"
         if not closing and tag not in VOID_TAGS and not m[3].endswith("/") and _dropped(tag, m[3]):
-            lower = lower if lower is not None else page.lower()
-            stop = _subtree_end(lower, tag, at)
+            stop = _subtree_end(page, tag, at)
             if stop is not None:
                 out.append(("tag", "-", article > 0))
                 at = stop
                 continue
-        if tag in ("article", "main"):
+        if tag == marks:
             article += -1 if closing and article else 0 if closing else 1
         out.append(("tag", tag, article > 0))
     return out
@@ -91,10 +103,10 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
 def _subtree_end(page: str, tag: str, at: int) -> int | None:
     """Where the element that begins before ``at`` ends; the end of the page for raw text, None for other unclosed ones."""
     if tag in RAW_TAGS:
-        m = re.compile(rf"</{tag}\b[^>]*>").search(page, at)
+        m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
         return m.end() if m else len(page)
     depth = 1
-    for m in re.compile(rf"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?){tag}(?=[\s/>])[^>]*>", re.S).finditer(page, at):
+    for m in re.compile(rf"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.S | re.I).finditer(page, at):
         if m[2] is not None:
             depth += -1 if m[2] else 1
             if not depth:

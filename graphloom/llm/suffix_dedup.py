@@ -183,7 +183,7 @@ class Repeats:
             owner = np.searchsorted(offsets, at, side="right") - 1
             stay = np.zeros(len(ids), np.bool_)
             stay[owner] = True
-            rows = [(None,) * 6 + self.digest(ids[i], data[offsets[i] : offsets[i + 1]], None) for i in np.flatnonzero(~stay)]
+            rows = [self.finished(ids[i], data[offsets[i] : offsets[i + 1]], None) for i in np.flatnonzero(~stay)]
             if stay.any():
                 sizes = np.diff(offsets)[stay]
                 moved = np.zeros(len(ids), np.int64)
@@ -191,7 +191,7 @@ class Repeats:
                 payload = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in np.flatnonzero(stay))
                 rows.append((chunk, [ids[i] for i in np.flatnonzero(stay)], sizes, payload, (at - offsets[owner] + moved[owner]).astype(np.int64).tobytes(), None) + (None,) * 5)
             for i in range(0, len(rows), 2000):
-                yield _done(rows[i : i + 2000])
+                yield _rows(rows[i : i + 2000], _CHUNK_ARROW)
 
     # -- pass 2: longer names of marked places
 
@@ -290,25 +290,16 @@ class Repeats:
             np.add.at(edge, first, 1)
             np.add.at(edge, last - 1 + self.length, -1)
             gone = np.cumsum(edge)[: len(data)] > 0
-            rows = [(None,) * 6 + self.digest(doc, data[i:j], gone[i:j]) for doc, i, j in zip(ids, offsets[:-1], offsets[1:])]
+            rows = [self.finished(doc, data[i:j], gone[i:j]) for doc, i, j in zip(ids, offsets[:-1], offsets[1:])]
             for i in range(0, len(rows), 2000):
-                yield _done(rows[i : i + 2000])
+                yield _rows(rows[i : i + 2000], _CHUNK_ARROW)
 
-    def digest(self, doc: int | None, data: np.ndarray, gone: np.ndarray | None) -> tuple:
+    def finished(self, doc: int | None, data: np.ndarray, gone: np.ndarray | None) -> tuple:
+        """The row of a document that is done: its id is the one id of no chunk."""
         lost = int(gone.sum()) if gone is not None else 0
         kept = (data[~gone] if lost else data).tobytes()
-        return doc, len(data), lost, len(runs(gone)[0]) if lost else 0, hashlib.sha256(kept).hexdigest(), kept if lost and self.with_text else None
-
-
-def _done(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of finished documents carry their id as the one id of no chunk."""
-    fixed = []
-    for r in rows:
-        if len(r) == 12:
-            fixed.append((None, [r[6]], None, None, None, None) + r[7:])
-        else:
-            fixed.append(r)
-    return _rows(fixed, _CHUNK_ARROW)
+        spans = len(runs(gone)[0]) if lost else 0
+        return None, [doc], None, None, None, None, len(data), lost, spans, hashlib.sha256(kept).hexdigest(), kept if lost and self.with_text else None
 
 
 def expand(pairs: np.ndarray) -> np.ndarray:

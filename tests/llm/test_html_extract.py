@@ -46,6 +46,13 @@ def test_nested_and_unclosed():
     assert [v for k, v, _ in tokens("<p hidden>x</p>y<NAV>a</NAV>") if k == "text"] == ["y"]
 
 
+def test_class_names(weights):
+    main = "<main><div class='intro-teaser'>" + "before " * 30 + "</div><article class='post has-sidebar'><p>The text of it.</p></article>"
+    more = "<article class='comment'>" + "A reader " * 40 + "</article><div class='search-form'>Find</div></main>"
+    assert main_text(main + more, weights) == "The text of it."
+    assert main_text("<div class='content no-sidebar'><p>Some plain text</p></div><div id=side-bar class='sidebar'>x y z " + "w " * 50 + "</div>", weights) == "Some plain text"
+
+
 def test_table(spark, sf_dir):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "<p>plain words here</p>")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, kind string")
