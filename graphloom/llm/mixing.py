@@ -129,10 +129,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) ->
     wants = lengths.groupBy("sid").applyInPandas(choose, "sid long, size long, want long")
     before = F.sum("n").over(Window.partitionBy("sid", "size").orderBy("part")) - F.col("n")
     quota = F.greatest(F.lit(0), F.least(F.col("n"), F.col("want") - F.col("before")))
-    quotas = counts.withColumn("before", before).join(wants, ["sid", "size"]).select("sid", "size", "part", quota.alias("quota"))
+    # both tables grow with the lengths of documents, and Spark would judge them by their small files
+    quotas = counts.withColumn("before", before).join(wants.hint("merge"), ["sid", "size"]).select("sid", "size", "part", quota.alias("quota"))
     quotas = scratch.write(quotas.where("quota > 0"), "quotas")
 
-    ranked = rows.join(quotas, ["sid", "size", "part"], "left")
+    ranked = rows.join(quotas.hint("merge"), ["sid", "size", "part"], "left")
     rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("o", "doc_id"))
     copies = F.col("full") + F.when(rank <= F.coalesce("quota", F.lit(0)), 1).otherwise(0)
     return ranked.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
