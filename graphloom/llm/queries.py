@@ -106,4 +106,46 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": _OP9}
+_OP2 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+twice AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM p SEMI JOIN twice USING (k)),
+islands AS (SELECT doc_id, i, count(*) FILTER (gap IS NULL OR gap > 400) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM islands GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT g.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS gone, count(*) AS spans
+  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
+_REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b)"""
+
+_OP6 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), nodes AS (SELECT id FROM v), links AS MATERIALIZED (
+  SELECT p.id AS x, q.id AS y FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id AND p.ok AND q.ok AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.98
+), {_REACH}
+SELECT v.id AS vec_id, (SELECT count(*) FROM links WHERE x = v.id) AS n_links, min(b) AS component_id, v.id = min(b) AS kept
+FROM v JOIN reach ON reach.a = v.id GROUP BY v.id
+"""
+
+_OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT w.id, count(s.g) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id), nodes AS (SELECT id FROM n), links AS MATERIALIZED (
+  SELECT p.id AS x, q.id AS y FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id JOIN n np ON np.id = p.id JOIN n nq ON nq.id = q.id
+  GROUP BY p.id, q.id, np.n, nq.n HAVING 100 * count(*) >= 85 * (np.n + nq.n - count(*))
+), {_REACH}
+SELECT n.id AS doc_id, n.n AS n_shingles, min(b) AS component_id FROM n JOIN reach ON reach.a = n.id GROUP BY n.id, n.n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op6_embedding_near_dedup": _OP6, "op7_ngram_jaccard_join": _OP7, "op9_chat_formatting": _OP9}

@@ -1,3 +1,6 @@
+import os
+
+import duckdb
 import pytest
 
 from graphloom.llm import queries
@@ -33,3 +36,15 @@ def test_contract(spark, sf_dir, name):
 
 def test_every_operator_is_registered():
     assert set(queries.QUERIES) == set(CONTRACT)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_oracle(spark, sf_dir, name):
+    duck = duckdb.connect()
+    for table in os.listdir(sf_dir):
+        duck.execute(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM '{sf_dir}/{table}'")
+    found = queries.QUERIES[name](spark, sf_dir)
+    rows = duck.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in rows.description]
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(*names).collect()), key=str) == sorted(rows.fetchall(), key=str)
