@@ -6,9 +6,15 @@ from dataclasses import dataclass
 from fractions import Fraction
 from math import isfinite
 
+# Defaults, and messages for bad parameters.
 ALPHA, ETA, MAX_ITERATIONS = 0.85, 1e-8, 200
 TAU_MASS = EPSILON_VERIFY = 2.0**-30
 MAX_VERTICES = 1_000_000
+BAD_ALPHA = "PageRank alpha must be finite and in (0, 1)"
+BAD_ETA = "PageRank eta must be finite and positive"
+BAD_ITERATIONS = "PageRank max_iterations must be positive"
+BAD_TAU = "PageRank tau_mass must be finite and nonnegative"
+BAD_EPSILON = "PageRank epsilon_verify must be finite and nonnegative"
 
 
 @dataclass(frozen=True)
@@ -23,15 +29,15 @@ class RankConfig:
 
     def __post_init__(self) -> None:
         if not isfinite(self.alpha) or not 0 < self.alpha < 1:
-            raise ValueError("PageRank alpha must be finite and in (0, 1)")
+            raise ValueError(BAD_ALPHA)
         if not isfinite(self.eta) or self.eta <= 0:
-            raise ValueError("PageRank eta must be finite and positive")
+            raise ValueError(BAD_ETA)
         if self.max_iterations <= 0:
-            raise ValueError("PageRank max_iterations must be positive")
+            raise ValueError(BAD_ITERATIONS)
         if not isfinite(self.tau_mass) or self.tau_mass < 0:
-            raise ValueError("PageRank tau_mass must be finite and nonnegative")
+            raise ValueError(BAD_TAU)
         if not isfinite(self.epsilon_verify) or self.epsilon_verify < 0:
-            raise ValueError("PageRank epsilon_verify must be finite and nonnegative")
+            raise ValueError(BAD_EPSILON)
 
     @property
     def reachable(self) -> bool:

@@ -15,7 +15,28 @@ from pyspark.sql import functions as F
 from ..errors import DataError, EdgeCsvError
 from ..operators.graph import INT_MAX, INT_MIN
 
+# The header and the messages for malformed input, in the order in which a reader meets them.
 HEADER = "from,to"
+BOM = "UTF-8 BOM is not allowed"
+NO_HEADER = "expected exact header from,to"
+AFTER_HEADER = "unexpected byte after exact header from,to"
+OPEN_HEADER = "missing or unterminated header from,to"
+LONE_CR = "carriage return must be followed by line feed"
+NOT_CANONICAL = "integer must use canonical decimal form"
+OUT_OF_RANGE = "integer is outside signed int32 range"
+BLANK = "blank data line is not allowed"
+INCOMPLETE = "blank or incomplete data line"
+NO_SOURCE = "missing source integer"
+QUOTED = "quoted fields are not allowed"
+BAD_SOURCE = "invalid source integer"
+LONE_MINUS = "minus sign must be followed by a digit"
+NO_FIELD = "missing destination field"
+SOURCE_JUNK = "trailing junk in source field"
+EXTRA = "extra CSV field"
+NO_DESTINATION = "missing destination integer"
+BAD_DESTINATION = "invalid destination integer"
+DESTINATION_JUNK = "trailing junk in destination field"
+EMPTY = "input has an empty vertex universe"
 LEAST_BYTES = len(HEADER) + 1 + len("0,0")
 ROW = r"\A[ \t]*(0|-?[1-9][0-9]{0,9})[ \t]*,[ \t]*(0|-?[1-9][0-9]{0,9})[ \t]*\r?\z"
 
@@ -45,21 +66,21 @@ def _bytes(spark: SparkSession, path: str) -> tuple[int, bytes, int]:
 def check_header(head: bytes, size: int) -> None:
     """Raise for a head that does not begin with the exact header line."""
     if head[:1] == b"\xef":
-        raise EdgeCsvError(1, "UTF-8 BOM is not allowed")
+        raise EdgeCsvError(1, BOM)
     name = HEADER.encode()
     if head[: len(name)] != name[: len(head)] or len(head) < len(name) and size > len(head):
-        raise EdgeCsvError(1, "expected exact header from,to")
+        raise EdgeCsvError(1, NO_HEADER)
     rest = head[len(name) :]
     if len(head) < len(name) or not rest:
-        raise EdgeCsvError(1, "missing or unterminated header from,to")
+        raise EdgeCsvError(1, OPEN_HEADER)
     if rest[:1] == b"\r":
         if rest[1:2] != b"\n":
-            raise EdgeCsvError(1, "carriage return must be followed by line feed")
+            raise EdgeCsvError(1, LONE_CR)
         rest = rest[1:]
     elif rest[:1] != b"\n":
-        raise EdgeCsvError(1, "unexpected byte after exact header from,to")
+        raise EdgeCsvError(1, AFTER_HEADER)
     if len(rest) == 1 and size == len(head):
-        raise EdgeCsvError(2, "input has an empty vertex universe")
+        raise EdgeCsvError(2, EMPTY)
 
 
 class _Line:
@@ -79,14 +100,14 @@ class _Line:
         if minus := self.peek() == "-":
             self.at += 1
             if not ("0" <= self.peek() <= "9" and self.peek()):
-                return "minus sign must be followed by a digit"
+                return LONE_MINUS
         digits = ""
         while self.peek() and "0" <= self.peek() <= "9":
             digits += self.peek()
             if digits[0] == "0" and (minus or len(digits) > 1):
-                return "integer must use canonical decimal form"
+                return NOT_CANONICAL
             if not INT_MIN <= int(("-" if minus else "") + digits) <= INT_MAX:
-                return "integer is outside signed int32 range"
+                return OUT_OF_RANGE
             self.at += 1
         return None if digits else invalid
 
@@ -97,40 +118,40 @@ def diagnose(text: str, ended: bool) -> str | None:
     line.blanks()
     c = line.peek()
     if c in ("\n", "\r"):
-        return "blank data line is not allowed"
+        return BLANK
     if c == "":
-        return "blank or incomplete data line"
+        return INCOMPLETE
     if c == ",":
-        return "missing source integer"
+        return NO_SOURCE
     if c == '"':
-        return "quoted fields are not allowed"
-    if wrong := line.integer("invalid source integer"):
+        return QUOTED
+    if wrong := line.integer(BAD_SOURCE):
         return wrong
     line.blanks()
     c = line.peek()
     if c in ("\n", "\r", ""):
-        return "missing destination field"
+        return NO_FIELD
     if c != ",":
-        return "trailing junk in source field"
+        return SOURCE_JUNK
     line.at += 1
     line.blanks()
     c = line.peek()
     if c == ",":
-        return "extra CSV field"
+        return EXTRA
     if c in ("\n", "\r", ""):
-        return "missing destination integer"
+        return NO_DESTINATION
     if c == '"':
-        return "quoted fields are not allowed"
-    if wrong := line.integer("invalid destination integer"):
+        return QUOTED
+    if wrong := line.integer(BAD_DESTINATION):
         return wrong
     line.blanks()
     c = line.peek()
     if c == ",":
-        return "extra CSV field"
+        return EXTRA
     if c == "\r":
         line.at += 1
-        return None if line.peek() == "\n" else "carriage return must be followed by line feed"
-    return None if c in ("\n", "") else "trailing junk in destination field"
+        return None if line.peek() == "\n" else LONE_CR
+    return None if c in ("\n", "") else DESTINATION_JUNK
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -157,7 +178,7 @@ def read_edge_csv(spark: SparkSession, path: str, check: bool = True) -> DataFra
         if seen["bad"] or seen["headers"] != 1 or last == 0x0D:
             raise _first_error(parsed, last)
         if not seen["good"]:
-            raise EdgeCsvError(2, "input has an empty vertex universe")
+            raise EdgeCsvError(2, EMPTY)
     return parsed.where("ok").select("src", "dst")
 
 
@@ -171,7 +192,7 @@ def _first_error(parsed: DataFrame, last: int) -> EdgeCsvError:
     here = F.struct(F.lit(found["block"]).alias("block"), F.lit(found["row"]).alias("row"))
     number = parsed.where(order < here).count() + 1
     ended = number < ends["n"] or last == 0x0A
-    return EdgeCsvError(number, diagnose(found["value"], ended) or "carriage return must be followed by line feed")
+    return EdgeCsvError(number, diagnose(found["value"], ended) or LONE_CR)
 
 
 class InputGuard:

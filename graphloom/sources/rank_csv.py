@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from ..errors import DataError, DurabilityError, PublicationError
 from ..functions.text import rank_lines
 
+# The header, and messages for bad ranks.
 HEADER = "vertex,rank"
+NO_ROWS = "rank CSV requires at least one row"
+NOT_FINITE = "rank must be finite"
+NOT_UNIQUE = "vertex IDs must be unique and strictly increasing"
 
 
 def check_output(path: str) -> None:
@@ -34,11 +38,11 @@ def write_rank_csv(ranks: DataFrame, path: str) -> None:
     check_output(path)
     seen = ranks.agg(F.count("*").alias("n"), F.countDistinct("vertex").alias("ids"), F.count(F.when(F.isnan("rank") | (F.abs("rank") == float("inf")) | F.col("rank").isNull(), 1)).alias("bad")).first()
     if not seen["n"]:
-        raise DataError("rank CSV requires at least one row")
+        raise DataError(NO_ROWS)
     if seen["bad"]:
-        raise DataError("rank must be finite")
+        raise DataError(NOT_FINITE)
     if seen["ids"] != seen["n"]:
-        raise DataError("vertex IDs must be unique and strictly increasing")
+        raise DataError(NOT_UNIQUE)
     parent = os.path.dirname(os.path.abspath(path))
     staging = os.path.join(parent, f".ranks-{uuid.uuid4().hex}")
     try:
