@@ -5,8 +5,11 @@ each step and symbol: it writes the symbol it stands on and goes on if the bit i
 back into step, so edit distance becomes Hamming distance, and a few sampled steps make a hash that survives edits.  Each
 repetition has its own walk and its own sampled steps.  Windows of an item's size begin at every word of a document, and
 at every few words of an item, so an edit at one place spoils only some of them.  As many repetitions are made as reach
-the target recall on items with random edits at the limit.  Candidates are verified by exact edit distance over words
-(bit-parallel, the item against any stretch of the region).
+the target recall in each class of items (by the edits they may have), on all items with random edits at the limit.
+Candidates are verified by exact edit distance over words (bit-parallel, the item against any stretch of the region).
+
+Items of fewer than 15 words, and classes that miss the target after all repetitions, are found exactly: of k + 1 pieces
+of an item with k edits one stands in the text as it is (pigeonhole), and all places of all pieces are verified.
 
 An item is found where its edit distance to some stretch of words is at most a fifth of its words.
 
@@ -29,13 +32,21 @@ from .common import byte_blocks, byte_codes, class_table, lower_table, mix64, sp
 #: Edits for each word of an item that still count.
 EDIT_SHARE = 0.2
 LEAST_WORDS = 5
+#: Items with fewer words are found by their pieces, without loss.
+LEAST_WALK_WORDS = 15
 STEPS, SAMPLED, ANCHOR_STRIDE = 14, 4, 2
 TARGET_RECALL, MAX_REPETITIONS = 0.995, 32
+#: Edited copies of each class of items, at least, that tuning looks at.
+CLASS_COPIES = 300
+#: Places of one item that are verified at once.
+PLACES = 4096
+#: Words of regions that are looked up at once.
+REGION_WORDS = 1 << 20
 #: Items that one pass over the documents searches for.
 ITEMS_PER_PASS = 20_000
 
 _CODES, _WORD, _LOWER = byte_codes(17), class_table("alnum"), lower_table()
-_TABLE_BITS = 18
+_TABLE_BITS, _MEMBER_BITS = 18, 22
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +77,77 @@ def edit_distance_within(pattern: np.ndarray, masks: dict[int, int], text: list[
     return best, end
 
 
+def edit_distances(pattern: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """edit_distance_within of one short pattern and each row of regions."""
+    steps = np.arange(regions.shape[1] + 1)
+    row = np.zeros((len(regions), len(steps)), np.int64)
+    for symbol in pattern:
+        best = row + 1
+        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + (regions != symbol))
+        row = np.minimum.accumulate(best - steps, axis=1) + steps
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
+
+
+class Pieces:
+    """Places of the pieces of items: an item with k edits has one of its k + 1 pieces as it is."""
+
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], which: list[int], share: float):
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in which:
+            words = items[k][1]
+            cuts = np.linspace(0, len(words), int(share * len(words)) + 2).astype(np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key = np.zeros(1, np.uint64)
+                for w in words[a:b]:
+                    key = self.grow(key, w)
+                found.setdefault(b - a, []).append((int(key[0]), k, a))
+        for size, rows in found.items():
+            keys = np.array([r[0] for r in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << _TABLE_BITS, np.bool_)
+            bits[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+            self.tables[size] = bits, keys[order], np.array([r[1] for r in rows], np.int64)[order], np.array([r[2] for r in rows], np.int64)[order]
+
+    @staticmethod
+    def grow(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ words)
+
+    def candidates(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, word at which the item would begin), as three columns."""
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        keys, found = np.zeros(len(words), np.uint64), [np.zeros((0, 3), np.int64)]
+        for size in range(1, max(self.tables, default=0) + 1):
+            keys = self.grow(keys[: max(len(words) - size + 1, 0)], words[size - 1 :])
+            if size not in self.tables or not len(keys):
+                continue
+            bits, entries, item, anchor = self.tables[size]
+            left = np.flatnonzero(bits[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+            left = left[row[left] == row[left + size - 1]]
+            window, entry = collisions(left, keys[left], entries)
+            found.append(np.stack([row[window], item[entry], window - anchor[entry]], axis=1))
+        return distinct(np.concatenate(found))
+
+
+def collisions(windows: np.ndarray, keys: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (window, place among the sorted entries) with equal keys."""
+    i, j = np.searchsorted(entries, keys, side="left"), np.searchsorted(entries, keys, side="right")
+    many = j - i
+    first = np.cumsum(many) - many
+    return np.repeat(windows, many), np.repeat(i - first, many) + np.arange(many.sum())
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows of three columns, in order."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
+
+
 class Searcher:
-    """Finds items among the words of many documents."""
+    """Finds items among the words of many documents.  ``tuned`` is what another searcher of the same items found by tuning."""
 
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], repetitions: int | None = None, share: float = EDIT_SHARE, seed: int = 23):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], tuned: tuple[int, frozenset[int]] | None = None, share: float = EDIT_SHARE, seed: int = 23):
         self.items, self.share = items, share
         rng = np.random.default_rng(seed)
         self.seeds = rng.integers(1, 1 << 63, (MAX_REPETITIONS, STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,22 +158,41 @@ class Searcher:
             for i, w in enumerate(words.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
-        starts = [(k, a) for k, (_, words) in enumerate(items) for a in range(0, max(1, len(words) - STEPS // 2 + 1), ANCHOR_STRIDE)]
+        walked = [k for k, (_, words) in enumerate(items) if len(words) >= LEAST_WALK_WORDS]
+        self.tables: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]] = []
+        self.index(walked)
+        self.repetitions, self.missed = tuned if tuned is not None else self.tune(rng, walked)
+        if self.missed:
+            self.tables = []
+            self.index([k for k in walked if self.edits(k) not in self.missed])
+        owner = np.repeat(np.arange(len(items)), [len(w) for _, w in items])
+        self.members = np.zeros(1 << _MEMBER_BITS, np.bool_)
+        self.members[self.member_slots(owner, np.concatenate([w for _, w in items] + [np.zeros(0, np.uint64)]))] = True
+        self.pieces = Pieces(items, [k for k, (_, words) in enumerate(items) if len(words) < LEAST_WALK_WORDS or self.edits(k) in self.missed], share)
+
+    def edits(self, item: int) -> int:
+        return int(self.share * len(self.items[item][1]))
+
+    def index(self, walked: list[int]) -> None:
+        """Where the walks over these items begin."""
+        starts = [(k, a) for k in walked for a in range(0, len(self.items[k][1]) - STEPS // 2 + 1, ANCHOR_STRIDE)]
         self.entry_item = np.array([k for k, _ in starts], np.int64)
         self.entry_anchor = np.array([a for _, a in starts], np.int64)
-        joined = np.concatenate([w for _, w in items] + [np.zeros(0, np.uint64)])
-        bounds = np.concatenate([[0], np.cumsum([len(w) for _, w in items])]).astype(np.int64)
-        self.tables = []
-        for r in range(MAX_REPETITIONS):
+
+    def table(self, r: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of repetition r: which keys there are after each sampled step, the last keys in order, and their entries."""
+        while len(self.tables) <= r:
+            joined = np.concatenate([w for _, w in self.items] + [np.zeros(0, np.uint64)])
+            bounds = np.concatenate([[0], np.cumsum([len(w) for _, w in self.items])]).astype(np.int64)
             begin = bounds[self.entry_item] + self.entry_anchor
-            depths, keys = [], None
-            for _, keys, _ in self.walk(joined, begin, bounds[self.entry_item + 1], r):
+            depths, keys = [], np.zeros(0, np.uint64)
+            for _, keys, _ in self.walk(joined, begin, bounds[self.entry_item + 1], len(self.tables)):
                 table = np.zeros(1 << _TABLE_BITS, np.bool_)
                 table[(keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
                 depths.append(table)
-            order = np.argsort(keys, kind="stable") if keys is not None else np.zeros(0, np.int64)
-            self.tables.append((depths, keys[order] if keys is not None else np.zeros(0, np.uint64), order))
-        self.repetitions = repetitions if repetitions is not None else self.tune(rng)
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((depths, keys[order], order))
+        return self.tables[r]
 
     def walk(self, words: np.ndarray, begin: np.ndarray, stop: np.ndarray, r: int, tables: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """After each sampled step: (which windows are left, their keys, where they stand).  A window past its end reads symbol 0."""
@@ -124,47 +221,95 @@ class Searcher:
         stop = bounds[1:][row]
         found = [np.zeros((0, 3), np.int64)]
         for r in range(first, repetitions):
-            depths, entries, order = self.tables[r]
+            depths, entries, order = self.table(r)
             left = keys = None
             for left, keys, _ in self.walk(words, begin, stop, r, depths):
                 pass
             if left is None or not len(left) or not len(entries):
                 continue
-            i, j = np.searchsorted(entries, keys, side="left"), np.searchsorted(entries, keys, side="right")
-            hit = np.flatnonzero(j > i)
-            many = (j - i)[hit]
-            window = np.repeat(left[hit], many)
-            entry = order[np.repeat(i[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(hit) else np.zeros(0, np.int64)
+            window, entry = collisions(left, keys, entries)
+            entry = order[entry]
             found.append(np.stack([row[window], self.entry_item[entry], window - self.entry_anchor[entry]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
-
-    def tune(self, rng: np.random.Generator) -> int:
-        """The fewest repetitions that find the target share of items with random edits at the limit."""
-        if not self.items:
-            return 0
-        chosen = rng.choice(len(self.items), min(100, len(self.items)), replace=False)
-        copies, owners = [], []
-        for k in np.repeat(chosen, 3):
-            words = self.items[k][1].tolist()
-            for _ in range(int(self.share * len(words))):
-                at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
-                fresh = [int(rng.integers(1, 1 << 62))]
-                words[at : at + (kind != 1)] = fresh if kind != 2 else []
-            around = rng.integers(1, 1 << 62, (2, 3 * STEPS)).tolist()
-            copies.append(np.array(around[0] + words + around[1], np.uint64))
-            owners.append(k)
+        return distinct(np.concatenate(found))
+
+    def tune(self, rng: np.random.Generator, walked: list[int]) -> tuple[int, frozenset[int]]:
+        """The fewest repetitions that find the target share of every class's items with random edits at the limit; the classes that miss it."""
+        members: dict[int, list[int]] = {}
+        for k in walked:
+            members.setdefault(self.edits(k), []).append(k)
+        copies, owners, classes = [], [], []
+        for edits, own in sorted(members.items()):
+            for k in own * -(-CLASS_COPIES // len(own)):
+                words = self.items[k][1].tolist()
+                for _ in range(edits):
+                    at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+                    fresh = [int(rng.integers(1, 1 << 62))]
+                    words[at : at + (kind != 1)] = fresh if kind != 2 else []
+                around = rng.integers(1, 1 << 62, (2, 3 * STEPS)).tolist()
+                copies.append(np.array(around[0] + words + around[1], np.uint64))
+                owners.append(k)
+                classes.append(edits)
+        if not copies:
+            return 0, frozenset()
         bounds = np.concatenate([[0], np.cumsum([len(c) for c in copies])])
-        joined, found = np.concatenate(copies), set()
+        joined, owner, kind = np.concatenate(copies), np.array(owners), np.array(classes)
+        found, wanted = np.zeros(len(copies), np.bool_), np.bincount(kind)
         for r in range(MAX_REPETITIONS):
-            found |= {int(i) for i, item, _ in self.candidates(joined, bounds, r + 1, r) if owners[i] == item}
-            if len(found) >= TARGET_RECALL * len(copies):
-                return r + 1
-        return MAX_REPETITIONS
+            got = self.candidates(joined, bounds, r + 1, r)
+            found[got[owner[got[:, 0]] == got[:, 1], 0]] = True
+            missed = np.flatnonzero(np.bincount(kind[found], minlength=len(wanted)) < TARGET_RECALL * wanted)
+            if not len(missed):
+                return r + 1, frozenset()
+        return MAX_REPETITIONS, frozenset(missed.tolist())
+
+    def verify_pieces(self, words: np.ndarray, bounds: np.ndarray, out: dict[int, dict[int, tuple[int, int]]]) -> None:
+        """Adds the items that pieces find, at their best."""
+        found = self.pieces.candidates(words, bounds)
+        found = found[np.argsort(found[:, 1], kind="stable")]
+        padded = np.concatenate([words, np.zeros(1, np.uint64)])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(found[:, 1])) + 1, [len(found)]]) if len(found) else [0]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            item = int(found[i, 1])
+            pattern, limit = self.items[item][1], self.edits(item)
+            for k in range(i, j, PLACES):
+                rows, starts = found[k : min(j, k + PLACES), 0], found[k : min(j, k + PLACES), 2]
+                low = np.maximum(bounds[rows], starts - limit)
+                place = low[:, None] + np.arange(len(pattern) + 2 * limit)
+                inside = place < np.minimum(bounds[rows + 1], starts + len(pattern) + limit)[:, None]
+                distance, end = edit_distances(pattern, np.where(inside, padded[np.where(inside, place, len(words))], 0))
+                for at in np.flatnonzero(distance <= limit).tolist():
+                    own = out.setdefault(int(rows[at]), {})
+                    if item not in own or distance[at] < own[item][0]:
+                        own[item] = (int(distance[at]), int(low[at] - bounds[rows[at]] + end[at]))
+
+    @staticmethod
+    def member_slots(items: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Where ``members`` says whether an item has a word; two of them may share a place."""
+        return ((words ^ (items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - _MEMBER_BITS)).astype(np.int64)
+
+    def likely(self, found: np.ndarray, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The candidates whose region has as many words of the item as a hit needs; a few others stay too."""
+        size = np.array([len(w) for _, w in self.items], np.int64)[found[:, 1]]
+        limit = (self.share * size).astype(np.int64)
+        low, high = np.maximum(bounds[found[:, 0]], found[:, 2] - limit), np.minimum(bounds[found[:, 0] + 1], found[:, 2] + size + limit)
+        count = np.maximum(high - low, 0)
+        good, first = np.zeros(len(found), np.bool_), 0
+        ends = np.cumsum(count)
+        while first < len(found):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + REGION_WORDS, side="right")))
+            own = count[first:last]
+            before = np.cumsum(own) - own
+            place = np.repeat(low[first:last] - before, own) + np.arange(own.sum())
+            inside = np.concatenate([[0], np.cumsum(self.members[self.member_slots(np.repeat(found[first:last, 1], own), words[place])])])
+            good[first:last] = inside[before + own] - inside[before] >= size[first:last] - limit[first:last]
+            first = last
+        return found[good]
 
     def search(self, words: np.ndarray, bounds: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
         """For each row with hits: (item, distance, words of the item, word after the stretch) of each item, at its best."""
         out: dict[int, dict[int, tuple[int, int]]] = {}
-        for row, item, at in self.candidates(words, bounds, self.repetitions).tolist():
+        self.verify_pieces(words, bounds, out)
+        for row, item, at in self.likely(self.candidates(words, bounds, self.repetitions), words, bounds).tolist():
             pattern = self.items[item][1]
             limit = int(self.share * len(pattern))
             best = out.get(row, {}).get(item)
@@ -199,10 +344,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, items_per_pass: int = ITEM
             words, _ = word_hashes(*string_buffer(pa.array([r["text"] or ""], pa.string())))
             if len(words) >= LEAST_WORDS:
                 items.append((r["item_id"], words))
-        repetitions = Searcher(items).repetitions
+        searcher = Searcher(items)
+        tuned = searcher.repetitions, searcher.missed
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, repetitions=repetitions) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(items, repetitions)
+        def run(batches: Iterator[pa.RecordBatch], items=items, tuned=tuned) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(items, tuned)
             for b in batches:
                 hits = b.column(2).to_pylist()
                 for first, _, data, offsets in byte_blocks(b.column(1)):

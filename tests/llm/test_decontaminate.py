@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from graphloom.llm import decontaminate
 from graphloom.llm.decontaminate import EDIT_SHARE, LEAST_WORDS, edit_distance_within, find_items
 
 
@@ -78,3 +79,52 @@ def test_blocks_of_items(spark, planted):
     bench = spark.createDataFrame(items, "item_id long, text string")
     exact = lambda df: {(r["doc_id"], h["item_id"]) for r in df.collect() for h in r["hits"] if h["distance"] == 0}
     assert exact(find_items(docs, bench)) == exact(find_items(docs, bench, items_per_pass=10))
+
+
+def found_share(items, lengths, edits, searcher, rng, copies=200):
+    """Of copies with random edits between words of their own, how many of the items of these lengths are found."""
+    hit = total = 0
+    for k, (_, words) in enumerate(items):
+        if len(words) not in lengths:
+            continue
+        for _ in range(copies):
+            own = words.tolist()
+            for _ in range(min(edits, int(EDIT_SHARE * len(words)))):
+                own[rng.randrange(len(own))] = rng.randrange(1, 1 << 62)
+            text = [rng.randrange(1, 1 << 62) for _ in range(20)] + own + [rng.randrange(1, 1 << 62) for _ in range(20)]
+            hit += k in {i for i, *_ in searcher.search(np.array(text, np.uint64), np.array([0, len(text)])).get(0, [])}
+            total += 1
+    return hit / total
+
+
+def test_short_items_among_long_ones():
+    rng = random.Random(8)
+    lengths = [5, 6, 8, 10, 12, 14] + [40] * 120
+    items = [(i, np.array([rng.randrange(1, 1 << 62) for _ in range(n)], np.uint64)) for i, n in enumerate(lengths)]
+    searcher = decontaminate.Searcher(items)
+    for edits in (0, 1, 2):
+        assert found_share(items, {5, 6, 8, 10, 12, 14}, edits, searcher, rng) == 1
+    assert found_share(items[:20], {40}, 8, searcher, rng, 20) >= 0.98
+
+
+def test_classes_that_miss_the_target_are_found_by_pieces(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, np.array([rng.randrange(1, 1 << 62) for _ in range(n)], np.uint64)) for i, n in enumerate([16, 18, 40])]
+    monkeypatch.setattr(decontaminate, "TARGET_RECALL", 1.1)
+    searcher = decontaminate.Searcher(items)
+    assert searcher.missed == {3, 8}
+    for k, (_, words) in enumerate(items):
+        if searcher.edits(k) in searcher.missed:
+            assert found_share(items, {len(words)}, 8, searcher, rng, 100) == 1
+
+
+def test_distances_of_many_regions():
+    rng = random.Random(5)
+    for _ in range(100):
+        pattern = np.array([rng.randrange(1, 5) for _ in range(rng.randrange(1, 14))], np.uint64)
+        regions = np.array([[rng.randrange(1, 5) for _ in range(17)] for _ in range(5)], np.uint64)
+        masks = {}
+        for i, w in enumerate(pattern.tolist()):
+            masks[w] = masks.get(w, 0) | 1 << i
+        want = [edit_distance_within(pattern, masks, r.tolist()) for r in regions]
+        assert list(zip(*(x.tolist() for x in decontaminate.edit_distances(pattern, regions)))) == want
