@@ -10,6 +10,8 @@ repeated rows count as documents each; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,8 +23,6 @@ WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Budget in words up to which the dynamic program runs exactly; greedy choice brings the rest below it.
 EXACT_BUDGET = 1 << 16
-#: Lengths, the shortest first, that enter the dynamic program.
-EXACT_LENGTHS = 300
 #: Parts of the seeded order of the documents of one source and length.
 ORDER_PARTS = 256
 
@@ -50,7 +50,10 @@ def fill_targets(sizes: list[int], weights: list[float], most: float = MAX_COPIE
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that the words come as near ``budget`` as the program can."""
+    """How many documents of each length to take, proportional shares first, so that the words come nearest to ``budget``.
+
+    The program runs over the spare documents of all lengths.
+    """
     order = np.argsort(lengths)
     length, count = lengths[order].astype(object), counts[order].astype(object)
     total = int(sum(length * count))
@@ -63,31 +66,50 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         if more > 0:
             take[i] += more
             left -= more * length[i]
-    parts = []  # the spare documents of each length in parts of 1, 2, 4, ...
-    for i in range(len(length)):
-        spare, size = min(count[i] - take[i], 2 * left // max(length[i], 1)), 1
-        if len(parts) > 16 * EXACT_LENGTHS or i >= EXACT_LENGTHS or left > 2 * EXACT_BUDGET:
-            break
-        while spare > 0:
-            n = min(size, spare)
-            parts.append((i, n))
-            spare, size = spare - n, 2 * size
-    mask, reach, seen = (1 << (2 * left + 1)) - 1 if left > 0 else 1, 1, []
-    for i, n in parts:
-        seen.append(reach)
-        reach |= (reach << (length[i] * n)) & mask
-        if reach >> left & 1 if left >= 0 else False:
-            break
-    goal = nearest_bit(reach, left) if left > 0 else 0
-    for (i, n), before in zip(reversed(parts[: len(seen)]), reversed(seen)):
-        if not before >> goal & 1:
+    if left > 2 * EXACT_BUDGET:  # every spare document is longer than what the loop left room for: one more, or none
+        spare = [i for i in range(len(length)) if count[i] > take[i]]
+        one = min(spare, key=lambda i: (abs(length[i] - left), length[i]), default=None)
+        if one is not None and abs(length[one] - left) < left:
+            take[one] += 1
+            left -= length[one]
+    if 0 < left <= 2 * EXACT_BUDGET:
+        for i, n in choose_parts(length, count - take, int(left)):
             take[i] += n
-            goal -= length[i] * n
     out = np.zeros(len(lengths), np.int64)
     out[order] = take.astype(np.int64)
     return out
 
 
+def choose_parts(length: np.ndarray, spare: np.ndarray, left: int) -> list[tuple[int, int]]:
+    """(place, how many) of the spare documents, in parts, whose words come nearest to ``left``; fewer words in a tie."""
+    parts = []  # the spare documents of each length in parts of 1, 2, 4, ...
+    for i in range(len(length)):
+        rest, size = min(spare[i], 2 * left // max(length[i], 1)) if length[i] else 0, 1
+        while rest > 0:
+            n = int(min(size, rest))
+            parts.append((i, n))
+            rest, size = rest - n, 2 * size
+    step = math.gcd(*(int(length[i]) for i, _ in parts)) if parts else 1
+    least = min(left % step, -left % step)
+    reach, low, goal = 1, (1 << (2 * left + 1)) - 1, 0
+    first = np.full(2 * left + 1, -1, np.int64)  # the part that reached a sum first
+    for k, (i, n) in enumerate(parts):
+        new = reach << int(length[i]) * n & low & ~reach
+        if new:
+            reach |= new
+            raw = new.to_bytes(2 * left // 8 + 1, "little")
+            first[np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))] = k
+            goal = nearest_bit(reach, left)
+            if abs(goal - left) <= least:
+                break
+    chosen = []
+    while goal:
+        i, n = parts[first[goal]]
+        chosen.append((i, n))
+        goal -= int(length[i]) * n
+    return chosen
+
+
 def nearest_bit(bits: int, at: int) -> int:
     """The set bit nearest to ``at``; the lower one in a tie."""
     low = (bits & ((1 << (at + 1)) - 1)).bit_length() - 1

@@ -71,3 +71,24 @@ def test_table(odd, empty):
 def test_driver_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     check([tuple(r) for r in docs.collect()], mix(docs).collect())
+
+
+def miss(lengths, counts, budget):
+    lengths, counts = np.array(lengths), np.array(counts)
+    take = fit_budget(lengths, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all()
+    return abs(int((take * lengths).sum()) - budget)
+
+
+def test_budget_of_many_and_of_long_lengths():
+    rng = np.random.default_rng(5)
+    for n, share in ((1000, 0.8), (1000, 0.95), (3000, 0.95)):
+        lengths, counts = np.unique(np.maximum(1, rng.lognormal(5.2, 1.0, n)).astype(np.int64), return_counts=True)
+        assert miss(lengths, counts, int(share * (lengths * counts).sum())) == 0
+    assert miss(range(1, 601), [1] * 600, 60000) == 0
+    assert miss([300001, 300002, 300003, 300004, 300005], [1] * 5, 500000) < 100100
+    assert miss([300000], [5], 500000) == 100000
+    assert miss([200000], [3], 390000) == 10000
+    assert miss([200001, 200002, 200003], [1] * 3, 390000) < 11000
+    assert miss([40000, 60000], [30, 30], 1_500_001) == 1
+    assert miss(range(20, 6001, 20), [1] * 300, 100_013) == 7
