@@ -2,7 +2,9 @@
 
 A text is the average of the embeddings of its hashed byte 2- to 4-grams (lower-case letters, everything else a blank).
 Embeddings and the softmax are trained by stochastic gradient descent in numpy on a bounded sample of labelled texts;
-a temperature and a rejection threshold are then fitted on texts of the sample that training has not seen.
+a temperature and two rejection thresholds are then fitted on texts of the sample that training has not seen: one on the
+probability, one on how usual the text's grams are in the predicted language (mean log frequency, standardised for the
+length), which also tells texts of languages that were never learned, however sure the softmax is.
 
 Defined results: null or letterless text is ``und`` with score 0 and rejected; a null lang is no label; without any
 label every text is ``und``; ties go to the label first in order; repeated rows count each; other columns are ignored.
@@ -25,16 +27,18 @@ from .common import string_buffer
 UNKNOWN = "und"
 #: Labelled texts, about, of each language that training may see.
 SAMPLE_PER_LANGUAGE = 700
-#: Languages, the most frequent first, that a model may know.
-MAX_LANGUAGES = 200
+#: Labelled texts, about, that training may see; with many languages each has fewer.
+SAMPLE = 200 * SAMPLE_PER_LANGUAGE
 BUCKET_BITS = 15
 DIMENSIONS = 16
 EPOCHS = 6
 SEGMENT = 1 << 18
-#: Share of the texts of known language, unseen in training, that the threshold may reject.
+#: Share of the texts of known language, unseen in training, that the thresholds, half each, may reject.
 REJECTED_SHARE = 0.002
-#: Calibrated probability from which a text is never rejected.
-CERTAIN = 0.4
+#: Unseen texts from which their own least quantiles count; of fewer, an exponential tail is carried on.
+ENOUGH = 200
+#: What a gram never seen in a language counts for, beside the 1000 of all grams.
+UNSEEN = 0.05
 
 
 def _fold_table() -> np.ndarray:
@@ -82,24 +86,40 @@ def has_letter(data: np.ndarray) -> bool:
 @dataclass
 class Model:
     labels: list[str]
-    table: np.ndarray  # bucket x label: embedding times softmax weights
+    both: np.ndarray  # bucket x label: embedding times softmax weights; then log frequency in the language
     bias: np.ndarray
     temperature: float
     threshold: float
+    usual: np.ndarray  # mean log frequency of the texts of each label
+    spread: tuple[float, float]  # variance around it: a constant, and one over the number of grams
+    least: float  # least standardised log frequency
 
-    def logits(self, data: np.ndarray) -> np.ndarray:
-        total, count = np.zeros(len(self.labels)), 0
-        for idx in grams(data):
-            total += self.table[idx].sum(axis=0, dtype=np.float64)
-            count += len(idx)
-        return total / max(count, 1) + self.bias
+    @property
+    def table(self) -> np.ndarray:
+        return self.both[:, : len(self.labels)]
 
-    def predict(self, data: np.ndarray) -> tuple[str, float]:
+    def judge(self, data: np.ndarray) -> tuple[str, float, bool]:
+        """(label, probability, rejected)."""
         if not self.labels or not has_letter(data):
-            return UNKNOWN, 0.0
-        p = softmax(self.logits(data) / self.temperature)
+            return UNKNOWN, 0.0, True
+        total, count = np.zeros(self.both.shape[1]), 0
+        for idx in grams(data):
+            total += self.both[idx].sum(axis=0, dtype=np.float64)
+            count += len(idx)
+        total /= max(count, 1)
+        p = softmax((total[: len(self.labels)] + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.labels[best], float(p[best])
+        away = (total[len(self.labels) + best] - self.usual[best]) / math.sqrt(self.spread[0] + self.spread[1] / max(count, 1))
+        return self.labels[best], float(p[best]), bool(p[best] < self.threshold or away < self.least)
+
+
+def low_quantile(values: np.ndarray, share: float) -> float:
+    """The quantile of a small share; of few values the smaller one of it and an exponential tail's below the lowest tenth."""
+    low = float(np.quantile(values, share))
+    if len(values) >= ENOUGH:
+        return low
+    tenth = float(np.quantile(values, 0.1))
+    return min(low, tenth - float(np.mean(tenth - values[values <= tenth])) * math.log(0.1 / share))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -112,7 +132,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
     labels = sorted({r[0] for r in rows})
     size = 1 << BUCKET_BITS
     if not labels:
-        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, 1.0, np.zeros(0), (1.0, 0.0), 0.0)
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     held = rows[: len(rows) // 8]
@@ -149,16 +169,40 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
             loss = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth])) + 1e-4 / t
             if loss < best:
                 best, temperature = loss, float(t)
-    confidence = [softmax(z / temperature).max() for z in logits]
-    threshold = min(CERTAIN, float(np.quantile(confidence, REJECTED_SHARE))) if confidence else 0.0
-    return Model(labels, table, bias, temperature, threshold)
+    seen = np.zeros((size, len(labels)))
+    for label, idx, share in train:
+        seen[idx, place[label]] += share * (1000 / freq[place[label]])
+    log = np.log((seen + UNSEEN) / (seen.sum(axis=0) + UNSEEN * size)).astype(np.float32)
+    both = np.concatenate([table, log], axis=1)
+    if not held:
+        return Model(labels, both, bias, temperature, 0.0, np.zeros(len(labels)), (1.0, 0.0), -math.inf)
+    p = np.array([softmax(z / temperature) for z in logits])
+    odds = np.log(np.maximum(p.max(axis=1), 1e-12) / np.maximum(1 - p.max(axis=1), 1e-12))
+    own = np.array([r[2] @ log[r[1], k] for r, k in zip(held, truth)])
+    usual = np.array([own[truth == k].mean() if (truth == k).any() else own.mean() for k in range(len(labels))])
+    one_over = np.array([float(r[2].min()) for r in held])  # some gram stands once
+    spread = variance(one_over, (own - usual[truth]) ** 2)
+    away = (own - usual[truth]) / np.sqrt(spread[0] + spread[1] * one_over)
+    threshold = 1 / (1 + math.exp(-low_quantile(odds, REJECTED_SHARE / 2)))
+    return Model(labels, both, bias, temperature, threshold, usual, spread, low_quantile(away, REJECTED_SHARE / 2))
+
+
+def variance(one_over: np.ndarray, squares: np.ndarray) -> tuple[float, float]:
+    """a and b, not negative, so that a + b / length is about the square."""
+    a, b = np.linalg.lstsq(np.stack([np.ones(len(one_over)), one_over], axis=1), squares, rcond=None)[0]
+    if b <= 0:
+        a, b = squares.mean(), 0.0
+    if a <= 0:
+        a, b = 0.0, squares.sum() / one_over.sum()
+    return float(a) + 1e-4, float(b)
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of (doc_id, text, lang).  The driver gets bucket counts of about ``per_language`` texts of each language."""
-    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return fit([])
+    per_language = min(per_language, SAMPLE / len(counts))
     keep = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(draw < keep[F.col("lang")]).select("lang", "text")
@@ -193,10 +237,10 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = string_buffer(b.column(b.num_columns - 1))
-            predicted = [model.predict(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
-            labels = pa.array([x for x, _ in predicted], pa.string())
-            scores = pa.array([p for _, p in predicted], pa.float64())
-            rejected = pa.array([x == UNKNOWN or p < model.threshold for x, p in predicted], pa.bool_())
+            judged = [model.judge(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+            labels = pa.array([x for x, _, _ in judged], pa.string())
+            scores = pa.array([p for _, p, _ in judged], pa.float64())
+            rejected = pa.array([r for _, _, r in judged], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], labels, scores, rejected], names=[*b.schema.names[:-1], *names])
 
     return rows.mapInArrow(run, T.StructType([docs.schema[c] for c in keep] + found))

@@ -33,3 +33,26 @@ def test_letters():
 
     look = lambda t: has_letter(np.frombuffer(t.encode(), np.uint8))
     assert look("a") and look("中") and look("1 é") and not look("12 — !") and not look("")
+
+
+FOREIGN = [
+    "O menino foi para a escola com os seus amigos e depois voltou para casa muito cansado",
+    "De jongen ging met zijn vrienden naar school en kwam daarna moe weer naar huis",
+    "Băiatul a mers la școală cu prietenii lui și apoi s-a întors acasă foarte obosit",
+    "Anak itu pergi ke sekolah bersama teman-temannya dan kemudian pulang dengan lelah",
+    "Pojken gick till skolan med sina vänner och kom sedan hem mycket trött",
+    "java.lang.NullPointerException at org.apache.spark.sql.Dataset.collect(Dataset.scala:123)",
+    "Мальчик пошёл в школу со своими друзьями, а потом вернулся домой",
+]
+
+
+def test_languages_never_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = id_remainder("doc_id", 5) == 0
+    foreign = spark.createDataFrame([(i, " ".join([t] * 3)) for i, t in enumerate(FOREIGN)], "doc_id long, text string")
+    for known in (["en"], ["de", "en"], ["de", "en", "es", "fr"]):
+        own = docs.where(docs.lang.isin(known))
+        model = train(own.where(~held))
+        assert all(r["rejected"] for r in identify(foreign, model, prefix="").collect())
+        rows = identify(own.where(held), model).collect()
+        assert sum(r["rejected"] for r in rows) <= 0.03 * len(rows)
