@@ -128,3 +128,15 @@ def test_distances_of_many_regions():
             masks[w] = masks.get(w, 0) | 1 << i
         want = [edit_distance_within(pattern, masks, r.tolist()) for r in regions]
         assert list(zip(*(x.tolist() for x in decontaminate.edit_distances(pattern, regions)))) == want
+
+
+def test_few_words_and_scripts_without_spaces(spark):
+    items = [(0, "Yes"), (1, "forty two"), (2, "What is it?"), (3, "她昨天在图书馆借了三本关于历史的书"), (4, "東京の天気は?"), (5, "เมื่อวานนี้ฉันไปตลาด"), (6, "“Déjà vu”"), (7, "。"), (8, None)]
+    docs = [
+        (0, "He said: YES, forty-two!"), (1, "So what is it, then; forty and two"), (2, "昨天我听说，她昨天在图书馆借了三本关于历史的书。然后回家了"),
+        (3, "昨天我听说，她昨天在图书馆借了两本关于历史的书。然后回家了"), (4, "質問：東京の天気は？晴れです"), (5, "ฉันบอกว่าเมื่อวานนี้ฉันไปตลาดกับแม่"), (6, "c'est du Déjà vu, dit-elle"), (7, "nothing here 。 yesterday"),
+        (8, "昨天我们去了北京"), (None, "yes"),
+    ]
+    found = find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits"]] for r in found}
+    assert got == {0: [(0, 0), (1, 0)], 1: [(2, 0)], 2: [(3, 0)], 3: [(3, 1)], 4: [(4, 0)], 5: [(5, 0)], 6: [(6, 0)], 7: [], 8: [], None: [(0, 0)]}
