@@ -6,8 +6,9 @@ repeats     passages of 400 bytes and more that stand elsewhere too are cut; doc
 benchmark   documents with an item of the benchmark go
 mixing      documents are taken as often as the target weights of their sources ask for
 
-Defined results: null and wordless texts go in the first stage.  Rows with a null id cannot be named in a group, a list of
-repeats or of leaks, so they pass those stages unchanged.  Of rows with one id, one stays.  An empty table gives an empty result.  Further columns of
+Defined results: null and wordless texts go in the first stage.  The stages decide by the text, or by id and text where one
+of several stays, so rows with a null id or with one id and different texts are judged as all others are; texts are named by
+64-bit hashes.  An empty table gives an empty result.  Further columns of
 documents are carried along; all but the last stage return the columns they were given.
 """
 
@@ -27,21 +28,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the identifier accepts."""
-    model = langid.train(docs.where(id_remainder("doc_id", 5) != 0))
+    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.xxhash64("text")))  # for the draw
+    model = langid.train(named.where(id_remainder("doc_id", 5) != 0))
     return langid.identify(docs, model, tuple(docs.columns), "__").where("not __rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, Jaccard 0.8 or more."""
-    groups = ngram_join.ngram_join(docs, gram=5, percent=80)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64("doc_id", "text")
+    groups = ngram_join.ngram_join(docs.select(key.alias("doc_id"), "text"), gram=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    ids = docs.select(key.alias("__key"), F.col("doc_id").alias("__id")).distinct()
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key"))
+    kept = ids.join(groups, "__key").groupBy("component_id").agg(first.alias("m")).select(F.col("m.__key").alias("__key"))
+    return docs.withColumn("__key", key).join(kept, "__key").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere too; a character goes with any of its bytes."""
-    found = suffix_dedup.remove_repeats(docs, with_text=True)
+    found = suffix_dedup.remove_repeats(docs.select(F.xxhash64("text").alias("doc_id"), "text"), with_text=True)
 
     def texts(batches):
         for b in batches:
@@ -49,7 +54,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["__id", "__kept"])
 
     cut = found.where("n_removed > 0").select("doc_id", "kept").mapInArrow(texts, "__id long, __kept string")
-    joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
+    cut = cut.dropDuplicates(["__id"])  # copies lose the same
+    joined = docs.join(cut, F.xxhash64("text") == F.col("__id"), "left")
     changed = F.col("__id").isNotNull()
     text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
     blank = changed & ~F.col("__kept").rlike(r"[^\x20\x09-\x0D]")
@@ -59,9 +65,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an item of the benchmark."""
-    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"))
-    hit = found.where("size(hits) > 0 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__id"), "left_anti")
+    found = decontaminate.find_items(docs.select(F.xxhash64("text").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    hit = found.where("size(hits) > 0").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(hit, F.xxhash64("text") == F.col("__id"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

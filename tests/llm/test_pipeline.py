@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as pipeline
 from graphloom.llm.decontaminate import find_items
 from graphloom.llm.mixing import mix
@@ -41,3 +43,19 @@ def test_odd_rows(spark, odd, empty, sf_dir):
             assert docs.where("doc_id is not null").count() == docs.where("doc_id is not null").select("doc_id").distinct().count()
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_null_and_repeated_ids(spark, sf_dir):
+    rng = random.Random(3)
+    word = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    a, b, c, d, shared = word(60), word(60), word(60), word(60), word(90)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(None, a), (None, a), (5, a), (7, b), (7, c), (None, d), (None, d), (None, f"{word(50)} {shared}"), (None, f"{word(50)} {shared}"), (None, f"{word(20)} {item} {word(20)}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs, sf_dir).cache()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in near.collect()) == sorted((str(i), t) for i, t in {(5, a), (7, b), (7, c), (None, d), *rows[7:]})
+    cut = stages["repeats"](spark, near, sf_dir).cache()
+    assert cut.count() == near.count() and not any(shared in r["text"] for r in cut.collect())
+    left = {r["text"] for r in stages["benchmark"](spark, cut, sf_dir).collect()}
+    assert not any(item in t for t in left) and {a, b, c, d} <= left and len(left) == 6
