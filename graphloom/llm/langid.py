@@ -37,6 +37,8 @@ SEGMENT = 1 << 18
 REJECTED_SHARE = 0.002
 #: Unseen texts from which their own least quantiles count; of fewer, an exponential tail is carried on.
 ENOUGH = 200
+#: Parts of a small sample; each is unseen by the frequencies of the others.
+FOLDS = 4
 #: What a gram never seen in a language counts for, beside the 1000 of all grams.
 UNSEEN = 0.05
 
@@ -169,24 +171,32 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Model:
             loss = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth])) + 1e-4 / t
             if loss < best:
                 best, temperature = loss, float(t)
-    seen = np.zeros((size, len(labels)))
-    for label, idx, share in train:
-        seen[idx, place[label]] += share * (1000 / freq[place[label]])
-    log = np.log((seen + UNSEEN) / (seen.sum(axis=0) + UNSEEN * size)).astype(np.float32)
+    log = log_frequencies(train, place)
     both = np.concatenate([table, log], axis=1)
     if not held:
         return Model(labels, both, bias, temperature, 0.0, np.zeros(len(labels)), (1.0, 0.0), -math.inf)
     p = np.array([softmax(z / temperature) for z in logits])
     odds = np.log(np.maximum(p.max(axis=1), 1e-12) / np.maximum(1 - p.max(axis=1), 1e-12))
-    own = np.array([r[2] @ log[r[1], k] for r, k in zip(held, truth)])
+    folds = [(train, held)] if len(held) >= ENOUGH else [([r for i, r in enumerate(rows) if i % FOLDS != k], rows[k::FOLDS]) for k in range(FOLDS)]
+    unseen = [(place[r[0]], r[2] @ t[r[1], place[r[0]]], r[2].min()) for others, few in folds for t in [log_frequencies(others, place)] for r in few]
+    truth = np.array([u[0] for u in unseen])
+    own, one_over = np.array([float(u[1]) for u in unseen]), np.array([float(u[2]) for u in unseen])  # some gram stands once
     usual = np.array([own[truth == k].mean() if (truth == k).any() else own.mean() for k in range(len(labels))])
-    one_over = np.array([float(r[2].min()) for r in held])  # some gram stands once
     spread = variance(one_over, (own - usual[truth]) ** 2)
     away = (own - usual[truth]) / np.sqrt(spread[0] + spread[1] * one_over)
     threshold = 1 / (1 + math.exp(-low_quantile(odds, REJECTED_SHARE / 2)))
     return Model(labels, both, bias, temperature, threshold, usual, spread, low_quantile(away, REJECTED_SHARE / 2))
 
 
+def log_frequencies(rows: list[tuple[str, np.ndarray, np.ndarray]], place: dict[str, int]) -> np.ndarray:
+    """bucket x label: log frequency in the texts of the label, each text counting the same."""
+    freq = np.bincount([place[r[0]] for r in rows], minlength=len(place))
+    seen = np.zeros((1 << BUCKET_BITS, len(place)))
+    for label, idx, share in rows:
+        seen[idx, place[label]] += share * (1000 / freq[place[label]])
+    return np.log((seen + UNSEEN) / (seen.sum(axis=0) + UNSEEN * len(seen))).astype(np.float32)
+
+
 def variance(one_over: np.ndarray, squares: np.ndarray) -> tuple[float, float]:
     """a and b, not negative, so that a + b / length is about the square."""
     a, b = np.linalg.lstsq(np.stack([np.ones(len(one_over)), one_over], axis=1), squares, rcond=None)[0]
