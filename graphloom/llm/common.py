@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,6 +184,55 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+#: Scripts without spaces: code points from, to.
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
+    (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+@functools.cache
+def character_classes(table: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: 0 parts words, 1 is of a word, 2 is a word of its own; and the first bytes of characters that are not 1."""
+    kinds = np.ones(0x110000, np.uint8)
+    if table == "alnum":
+        kinds[0x80:0x20000] = [unicodedata.category(chr(c))[0] not in "PZC" for c in range(0x80, 0x20000)]
+    for first, last in _UNSPACED:
+        kinds[first : last + 1] *= 2
+    leads = np.zeros(256, np.bool_)
+    leads[[chr(c).encode("utf-8", "surrogatepass")[0] for c in range(0x80, 0x110000, 0x40) if (kinds[c : c + 0x40] != 1).any()]] = True
+    return kinds, leads
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray, table: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; characters of scripts without spaces are words each."""
+    kinds, leads = character_classes(table)
+    at = np.flatnonzero(leads[data])
+    if not len(at):
+        return word_spans(data, offsets, class_table(table))
+    size = 2 + (data[at] >= 0xE0).astype(np.int64) + (data[at] >= 0xF0)
+    code = data[at].astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[np.minimum(at[more] + k, len(data) - 1)] & 0x3F
+    kind, end = kinds[np.minimum(code, 0x10FFFF)], np.minimum(at + size, len(data))
+    inside = np.zeros(len(data) + 2, np.bool_)
+    inside[1:-1] = class_table(table)[data]
+    parts = kind == 0
+    for k in range(4):
+        gone = at[parts] + k
+        inside[gone[gone < end[parts]] + 1] = False
+    begins = inside[1:-1] & ~inside[:-2]
+    ends = inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    cuts = np.concatenate([edges, at[kind == 2], end[kind == 2]])
+    first, last = cuts[cuts < len(data)], cuts[cuts > 0] - 1
+    begins[first] = inside[1:-1][first]
+    ends[last] = inside[1:-1][last]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 # --------------------------------------------------------------------------- components
 
 

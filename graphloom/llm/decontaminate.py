@@ -21,8 +21,6 @@ repeated rows are searched each; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_blocks, byte_codes, class_table, lower_table, mix64, span_hashes, string_buffer, word_spans
+from .common import byte_blocks, byte_codes, lower_table, mix64, span_hashes, string_buffer, unit_spans
 
 #: Edits for each word of an item that still count.
 EDIT_SHARE = 0.2
@@ -49,55 +47,13 @@ REGION_WORDS = 1 << 20
 #: Items that one pass over the documents searches for.
 ITEMS_PER_PASS = 20_000
 
-_CODES, _WORD, _LOWER = byte_codes(17), class_table("alnum"), lower_table()
+_CODES, _LOWER = byte_codes(17), lower_table()
 _TABLE_BITS, _MEMBER_BITS = 18, 22
 
 
-#: Scripts without spaces: code points from, to.
-_UNSPACED = (
-    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
-    (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
-    (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
-)
-
-
-@functools.cache
-def character_classes() -> np.ndarray:
-    """Of each code point: 0 parts words, 1 is of a word, 2 is a word of its own."""
-    kinds = np.array([unicodedata.category(chr(c))[0] not in "PZC" for c in range(0x20000)], np.uint8)
-    kinds = np.concatenate([kinds, np.ones(0x110000 - len(kinds), np.uint8)])
-    for first, last in _UNSPACED:
-        kinds[first : last + 1] *= 2
-    kinds[:0x80] = _WORD[:0x80]
-    return kinds
-
-
-def character_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """word_spans of texts with non-ASCII characters."""
-    heads = (data & 0xC0) != 0x80
-    heads[offsets[:-1][offsets[:-1] < len(data)]] = True
-    at = np.flatnonzero(heads)
-    size = np.diff(np.append(at, len(data)))
-    code = data[at].astype(np.int64)
-    for n, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
-        own = np.flatnonzero(size == n)
-        value = data[at[own]].astype(np.int64) & mask
-        for k in range(1, n):
-            value = value << 6 | data[at[own] + k] & 0x3F
-        code[own] = value
-    kind = character_classes()[np.minimum(code, 0x10FFFF)]
-    joined = (kind[1:] == 1) & (kind[:-1] == 1)
-    edges = np.searchsorted(at, offsets[(offsets > 0) & (offsets < len(data))])
-    joined[edges - 1] = False
-    begins, ends = kind > 0, kind > 0
-    begins[1:] &= ~joined
-    ends[:-1] &= ~joined
-    return at[begins], (at + size)[ends]
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the n + 1 bounds of the rows' words."""
-    starts, ends = character_spans(data, offsets) if (data >= 0x80).any() else word_spans(data, offsets, _WORD)
+    starts, ends = unit_spans(data, offsets, "alnum")
     words = span_hashes(_CODES[_LOWER[data]], starts, ends) if len(starts) else np.zeros(0, np.uint64)
     return words, np.searchsorted(starts, offsets)
 

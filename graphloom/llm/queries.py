@@ -20,7 +20,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    """What strings of 400 bytes remove, and beside it the passages of 50 words and more that stand elsewhere too."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), passage_words=suffix_dedup.PASSAGE_WORDS)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

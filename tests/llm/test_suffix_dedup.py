@@ -1,10 +1,11 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from graphloom.llm.suffix_dedup import difference_cover, remove_repeats
+from graphloom.llm.suffix_dedup import difference_cover, remove_passages, remove_repeats
 
 
 def brute(texts, length):
@@ -33,6 +34,40 @@ def test_against_brute_force(odd, length):
     assert got == Counter((r[0], *b) for r, b in zip(rows, brute([r[1] for r in rows], length)))
 
 
+def brute_words(texts, length):
+    """(bytes, removed, runs, digest) where words that belong to a repeated sequence of ``length`` words go."""
+    spans = [[m.span() for m in re.finditer(r"[\u4e00-\u9fff]|[^\x20\x09-\x0D\u4e00-\u9fff]+", t or "")] for t in texts]
+    words = [tuple((t or "")[i:j] for i, j in s) for t, s in zip(texts, spans)]
+    seen = Counter(w[i : i + length] for w in words for i in range(len(w) - length + 1))
+    out = []
+    for t, s, w in zip(texts, spans, words):
+        gone = [False] * (len(t or "") + 1)
+        for i in range(len(w) - length + 1):
+            if seen[w[i : i + length]] > 1:
+                gone[s[i][0] : s[i + length - 1][1]] = [True] * (s[i + length - 1][1] - s[i][0])
+        for i in range(len(s) - 1):  # blanks between two words that go
+            if gone[s[i][0]] and gone[s[i + 1][0]]:
+                gone[s[i][1] : s[i + 1][0]] = [True] * (s[i + 1][0] - s[i][1])
+        kept = "".join(c for c, g in zip(t or "", gone) if not g).encode()
+        runs = sum(gone[i] and not gone[i + 1] for i in range(len(gone) - 1))
+        out.append((len((t or "").encode()), len((t or "").encode()) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [50, 12])
+def test_passages_against_brute_force(spark, odd, length):
+    rows, docs = odd
+    small = [(r[0], r[1]) for r in rows if r[1] is None or len(r[1]) < 50_000]
+    passage = "Ünï " + "中文字" * 17 + " «que» tail"
+    small += [(900, f"a b {passage} c"), (901, f"x\u00a0y {passage.replace(' ', chr(10) * 2)} z"), (902, passage)]
+    got = Counter(tuple(r) for r in remove_passages(spark.createDataFrame(small, "doc_id long, text string").repartition(3), length).collect())
+    want = Counter((r[0], *b) for r, b in zip(small, brute_words([r[1] for r in small], length)))
+    assert got == want and sum(r[3] > 0 for r in want) > 10
+    both = remove_repeats(spark.createDataFrame(small, "doc_id long, text string"), 60, passage_words=length).collect()
+    assert Counter((r["doc_id"], r["n_passage_bytes"], r["n_passages"]) for r in both) == Counter((r[0], r[2], r[3]) for r in want.elements())
+    assert Counter(tuple(r)[:5] for r in both) == Counter((r[0], *b) for r, b in zip(small, brute([r[1] for r in small], 60)))
+
+
 def test_long_repetition_and_text(spark, odd):
     _, docs = odd
     found = remove_repeats(docs.where("length(text) > 10000"), with_text=True).collect()
