@@ -18,6 +18,8 @@ Names go from chunks of documents to buckets as packed bytes, and single bits co
 has 64 bits and comes once from a chunk, so no bucket fills with one string.  Chunks are written to the shared folder.
 
 Symbols are bytes, or words with ``words``: runs of non-blank characters, and each character of a script without spaces.
+Then a string must stand in two documents: what one document says again and again is not a passage.  So names count once
+for a document, and two documents stand for the rest of equal samples.
 Passages of words go from the first word to the last, with the blanks between, however these differ.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all; repeated rows and copies are documents each, so
@@ -152,7 +154,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Repeats:
-    """The three passes over chunks for one length, of bytes or words."""
+    """The three passes over chunks for one length: of bytes anywhere, or of words in two documents."""
 
     def __init__(self, length: int, prime: int, buckets: int, with_text: bool, words: bool = False):
         self.length, self.buckets, self.with_text, self.words = length, buckets, with_text, words
@@ -179,7 +181,15 @@ class Repeats:
     def tuples(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sampled places, the distinct names in order, the place of each among them, and how often each stands."""
         at = sampled(bounds, self.v, self.cover, self.tuple)
-        return at, *np.unique(self.names(x, at, self.tuple), return_inverse=True, return_counts=True)
+        names, place, count = np.unique(self.names(x, at, self.tuple), return_inverse=True, return_counts=True)
+        return at, names, place, self.tally(bounds, at, place, count)
+
+    def tally(self, bounds: np.ndarray, at: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How often each string counts that stands ``count`` times: words by documents."""
+        if not self.words or not len(at):
+            return count
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        return np.bincount(np.unique(place * len(bounds) + owner) // len(bounds), minlength=len(count))
 
     def send_tuples(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, offsets, data, _, _ in read_chunks(batches):
@@ -218,7 +228,10 @@ class Repeats:
     # -- pass 2: longer names of marked places
 
     def contexts(self, x: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct (tuple name, long name) in order, the place of each, and how often it stands.  A long name that would cross a document's end is 0."""
+        """Distinct (tuple name, long name) in order, the first and last of each, the place of each, and how often it counts.
+
+        A long name that would cross a document's end is 0.
+        """
         owner = np.searchsorted(bounds, at, side="right") - 1
         whole = (at - self.v + 1 >= bounds[owner]) & (at + self.length <= bounds[owner + 1])
         long_ = np.zeros(len(at), np.uint64)
@@ -226,12 +239,14 @@ class Repeats:
         pairs = np.empty(len(at), [("g", np.uint64), ("c", np.uint64)])
         pairs["g"], pairs["c"] = self.names(x, at, self.tuple), long_
         found, first, place, count = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-        return found, first, place, count
+        last = np.zeros(len(found), np.int64)
+        last[place] = np.arange(len(at))
+        return found, first, last, place, self.tally(bounds, at, place, count)
 
     def send_contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, offsets, data, _, (at, _) in read_chunks(batches):
             x, bounds, _ = self.symbols(data, offsets)
-            pairs, _, _, count = self.contexts(x, bounds, at)
+            pairs, _, _, _, count = self.contexts(x, bounds, at)
             longs, many = pairs["c"].astype(">u8").view(np.uint8).reshape(-1, 8), (count > 1).astype(np.uint8)[:, None]
             more = np.concatenate([longs, many], axis=1)
             yield _rows([(k, chunk, raw, more[i:j].tobytes()) for k, i, j, raw in pack(pairs["g"], self.buckets, 8)], _NAMES_ARROW)
@@ -250,7 +265,10 @@ class Repeats:
         settled = (np.bincount(in_c, weights=1 + many)[in_c] > 1) & (c != 0)
         alone = ~settled
         asks = (np.bincount(in_g, weights=alone)[in_g] > 0) & (np.bincount(in_g, weights=1 + many)[in_g] > 1)
-        opened = asks & (alone | new_c)
+        for_c = new_c.copy()
+        if self.words:  # two documents
+            for_c[1:] |= new_c[:-1]
+        opened = asks & (alone | for_c)
         masks = []
         for mask in (settled, opened):
             back = np.empty(len(g), np.bool_)
@@ -262,7 +280,7 @@ class Repeats:
         """Chunks with the starts that are settled and those that are open."""
         for chunk, ids, offsets, data, bits, (at, _) in read_chunks(batches, reply=True):
             x, bounds, _ = self.symbols(data, offsets)
-            pairs, first, place, count = self.contexts(x, bounds, at)
+            pairs, first, last, place, count = self.contexts(x, bounds, at)
             settled = (count > 1) & (pairs["c"] != 0)
             opened = np.zeros(len(pairs), np.bool_)
             for k, i, j, _ in pack(pairs["g"], self.buckets, 0):
@@ -271,7 +289,10 @@ class Repeats:
                     settled[i:j] |= both[: j - i]
                     opened[i:j] |= both[j - i :]
             ask = opened[place] & ((pairs["c"] == 0)[place] | (count == 1)[place])
-            ask[first[opened & (pairs["c"] != 0) & (count > 1)]] = True
+            for_rest = opened & (pairs["c"] != 0) & (count > 1)
+            ask[first[for_rest]] = True
+            if self.words:
+                ask[last[for_rest]] = True
             starts = self.before(bounds, at[settled[place]])
             asked = self.before(bounds, at[ask])
             yield _rows([(chunk, *zip(*ids), np.diff(offsets), data.tobytes(), starts.tobytes(), asked.tobytes()) + (None,) * 5], _CHUNK_ARROW)
@@ -304,7 +325,7 @@ class Repeats:
             x, bounds, spans = self.symbols(data, offsets)
             at = expand(opened)
             names, place, count = np.unique(self.names(x, at, self.length), return_inverse=True, return_counts=True)
-            twice = count > 1
+            twice = self.tally(bounds, at, place, count) > 1
             for k, i, j, _ in pack(names, self.buckets, 0):
                 if k in bits:
                     twice[i:j] |= np.unpackbits(np.frombuffer(bits[k], np.uint8), count=j - i).astype(np.bool_)
@@ -414,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, wi
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, kept: the remaining bytes where some went.
 
     With ``passage_words`` also n_passages, n_passage_bytes: the maximal runs in which every word belongs to so many words
-    that stand elsewhere too, shorter than ``length`` bytes or not, and their bytes.  They are reported and not removed.
+    that stand in another document too, shorter than ``length`` bytes or not, and their bytes.  These are not removed.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     chunks = _write_chunks(scratch, docs)
@@ -434,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, wi
 
 
 def remove_passages(docs: DataFrame, words: int = PASSAGE_WORDS, with_text: bool = False) -> DataFrame:
-    """The columns of ``remove_repeats`` where each word goes that belongs to ``words`` words that stand elsewhere too."""
+    """The columns of ``remove_repeats`` where each word goes that belongs to ``words`` words that stand in another document too."""
     scratch = Scratch(docs.sparkSession, "passages")
     found = search(scratch, _write_chunks(scratch, docs), lambda b: Repeats(words, WORD_PRIME, b, with_text, words=True), keep=False)
     return found.select(F.col("ids")[0].alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

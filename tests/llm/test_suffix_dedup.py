@@ -35,10 +35,10 @@ def test_against_brute_force(odd, length):
 
 
 def brute_words(texts, length):
-    """(bytes, removed, runs, digest) where words that belong to a repeated sequence of ``length`` words go."""
+    """(bytes, removed, runs, digest) where words go that belong to ``length`` words standing in two documents."""
     spans = [[m.span() for m in re.finditer(r"[\u4e00-\u9fff]|[^\x20\x09-\x0D\u4e00-\u9fff]+", t or "")] for t in texts]
     words = [tuple((t or "")[i:j] for i, j in s) for t, s in zip(texts, spans)]
-    seen = Counter(w[i : i + length] for w in words for i in range(len(w) - length + 1))
+    seen = Counter(x for w in words for x in {w[i : i + length] for i in range(len(w) - length + 1)})
     out = []
     for t, s, w in zip(texts, spans, words):
         gone = [False] * (len(t or "") + 1)
@@ -60,6 +60,8 @@ def test_passages_against_brute_force(spark, odd, length):
     small = [(r[0], r[1]) for r in rows if r[1] is None or len(r[1]) < 50_000]
     passage = "Ünï " + "中文字" * 17 + " «que» tail"
     small += [(900, f"a b {passage} c"), (901, f"x\u00a0y {passage.replace(' ', chr(10) * 2)} z"), (902, passage)]
+    loop = "la li lu le lo " * 60
+    small += [(903, loop), (904, loop + "once more"), (905, "do re mi fa so " * 60), (906, "do re mi fa so " * 3), (907, passage + " " + loop + passage)]
     got = Counter(tuple(r) for r in remove_passages(spark.createDataFrame(small, "doc_id long, text string").repartition(3), length).collect())
     want = Counter((r[0], *b) for r, b in zip(small, brute_words([r[1] for r in small], length)))
     assert got == want and sum(r[3] > 0 for r in want) > 10
@@ -82,3 +84,16 @@ def test_empty(empty):
 def test_cover(q):
     v, cover = difference_cover(q)
     assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) == q + 1
+
+
+def test_many_short_texts_of_few_words(spark):
+    """Overlapping copies within and across documents, chunks of one document and of many."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(300):
+        t = " ".join(rng.choice(["a", "b", "c"], rng.integers(0, 40)).tolist())
+        texts.append(t if rng.random() < 0.7 or not texts else texts[rng.integers(0, len(texts))] + " " + t)
+    rows = list(enumerate(texts))
+    for parts in (1, 7, 300):
+        got = Counter(tuple(r) for r in remove_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 11).collect())
+        assert got == Counter((i, *b) for (i, _), b in zip(rows, brute_words(texts, 11)))
