@@ -2,7 +2,7 @@
 
 language    documents whose language is not recognised go
 near-dups   one document of each group of near copies stays, the one with the smallest id
-repeats     passages of 50 words and more that stand elsewhere too are cut; documents with nothing left go
+repeats     passages of 50 words and more that stand in another document too are cut; documents with nothing left go
 benchmark   documents with an item of the benchmark go
 mixing      documents are taken as often as the target weights of their sources ask for
 
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand elsewhere too, from their first word to their last."""
+    """Texts without passages that stand in another text too, from their first word to their last."""
     found = suffix_dedup.remove_passages(docs.select(F.xxhash64("text").alias("doc_id"), "text"), with_text=True)
 
     def texts(batches):
