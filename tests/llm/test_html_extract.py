@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from graphloom.llm.html_extract import extract, main_text, tokens
+from graphloom.llm.html_extract import best_region, extract, main_text, tokens
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/a">Home page</a></li></ul></nav><!-- <p>not this</p> -->
@@ -53,6 +56,42 @@ def test_class_names(weights):
     assert main_text("<div class='content no-sidebar'><p>Some plain text</p></div><div id=side-bar class='sidebar'>x y z " + "w " * 50 + "</div>", weights) == "Some plain text"
 
 
+def test_best_region_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, -0.25, 0, 0.5, 1, 4]) for _ in range(rng.randrange(0, 25))]
+        totals = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        best = max([0, *totals.values()])
+        i, j = best_region(scores)
+        assert sum(scores[i:j]) == best and (best == 0) == (i == j)
+        assert not best or j == min(b for (_, b), t in totals.items() if t == best)
+
+
+def test_regions_of_pages_without_marks(weights):
+    """Blocks of many words between menus and lists of few: the region of all blocks, found without any mark."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    for _ in range(60):
+        menu = "".join(f"<ul><li><a href='{word()}'>{word()}</a></li></ul>" for _ in range(rng.randrange(3, 9)))
+        blocks = [" ".join(word() for _ in range(rng.randrange(30, 80))) for _ in range(rng.randrange(1, 7))]
+        page = f"<html><body><div>{menu}</div><div>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</div><div>{menu}</div></body></html>"
+        assert main_text(page, weights) == " ".join(blocks)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<nav>", "<a '", '<a "', "<", "</script", "<script>", "<!--", "<div class='ad'>", '<x " > "', "<x '\">\" '", "<a\"<b'", "<p a=\"'", "&amp;", "&", "<title>", "</p", "<x\"'>'"])
+def test_hostile_markup(weights, unit):
+    for page in (unit * (1_000_000 // len(unit)), "<nav>" + unit * (500_000 // len(unit)) + "</nav>> words", unit * (500_000 // len(unit)) + "'>\">"):
+        began = time.process_time()
+        main_text(page, weights)
+        assert time.process_time() - began < 5
+
+
+def test_links_decide(weights):
+    text = "one two three four five six seven eight nine ten"
+    assert main_text(f"<p>{text}</p><div class='share-your-story'><p>{text}</p></div>", weights) == f"{text} {text}"
+    assert main_text(f"<p>{text}</p><div class='share'><a>x y</a> <a>z</a> or</div><p>{text}</p>", weights) == f"{text} {text}"
+
+
 def test_table(spark, sf_dir):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE), (3, "w", "<p>plain words here</p>")]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, kind string")
