@@ -1,6 +1,7 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows.
 
-Terms are learned from labelled texts: word beginnings that stand in toxic texts and not in clean ones.  They make a
+Terms are learned from labelled texts: word beginnings that stand in toxic texts and not in clean ones, and whole words
+where they are shorter than a beginning.  All that the sample supports are taken.  They make a
 trie.  The product of the trie with Levenshtein automata is determinised lazily, so each word of a text is read once,
 letter by letter, until no term can match.  A term found weighs its log odds among labelled texts at that number of
 edits; words around it tell quotation (less) from address (more).  A logistic function of the total gives the score.
@@ -27,7 +28,7 @@ from .common import Scratch, class_table, mix64, string_buffer
 
 #: Labelled texts, about, of each class from which terms and weights are learned.
 SAMPLE_PER_CLASS = 3000
-MAX_TERMS = 2000
+#: Letters of a beginning; shorter words count whole.
 SHORTEST, LONGEST = 4, 16
 #: Texts of the sample, at least, that a term needs, as a share of the toxic ones, and never fewer than three.
 SUPPORT = 0.005
@@ -213,15 +214,16 @@ class Scorer:
 def choose_terms(prefixes: list[tuple[str, int, int, int]]) -> list[Term]:
     """(beginning, toxic texts, of these with nothing following, clean texts), all pure enough -> the terms.
 
-    The shortest pure beginnings count, each lengthened as long as all its texts have the longer one too.
+    The shortest pure beginnings count, each lengthened as long as all its texts have the longer one too.  What is
+    shorter than a beginning is a whole word, and a term as it is.
     """
-    support = {p: (t, x) for p, t, x, _ in prefixes}
+    support = {p: (t, x) for p, t, x, _ in prefixes if len(p) >= SHORTEST}
     longer: dict[str, str] = {}
     for p, (t, _) in support.items():
         if p[:-1] in support and support[p[:-1]][0] == t:
             longer[p[:-1]] = p
     roots = [p for p in sorted(support) if p[:-1] not in support]
-    terms = []
+    terms = [Term(p, False) for p, *_ in prefixes if len(p) < SHORTEST]
     for p in roots:
         while p in longer:
             p = longer[p]
@@ -291,12 +293,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     if not toxic:
         return Model([])
     words = scratch.write(sample.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
-    cuts = words.where(F.length("word") >= SHORTEST).select(F.explode(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))).alias("n"), "*")
+    first = F.least(F.length("word"), F.lit(SHORTEST))
+    cuts = words.where("word <> ''").select(F.explode(F.sequence(first, F.least(F.length("word"), F.lit(LONGEST)))).alias("n"), "*")
     exact = F.when(F.length("word") == F.col("n"), F.col("toxic")).otherwise(0)
     prefixes = cuts.groupBy(F.expr("substring(word, 1, n)").alias("p")).agg(F.sum("toxic").alias("t"), F.sum(exact).alias("x"), F.sum("clean").alias("c"))
     least, impurity = max(3, math.ceil(SUPPORT * toxic)), IMPURITY * max(1.0, clean / toxic)
-    pure = prefixes.where((F.col("t") >= least) & (F.col("c") <= impurity * F.col("t"))).orderBy(F.desc("t"), "p").limit(MAX_TERMS * 4).collect()
-    model = Model(choose_terms([(r["p"], r["t"], r["x"], r["c"]) for r in pure])[:MAX_TERMS])
+    pure = prefixes.where((F.col("t") >= least) & (F.col("c") <= impurity * F.col("t"))).collect()
+    model = Model(choose_terms([(r["p"], r["t"], r["x"], r["c"]) for r in pure]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, rows = Automaton(model.terms), Counter()

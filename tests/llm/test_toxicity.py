@@ -42,6 +42,18 @@ def test_terms():
     assert found == [Term("idiot", False), Term("vequ", True)]
 
 
+def test_all_supported_terms_are_learned(spark):
+    """More than two thousand terms, short words among them; none goes by its place in the alphabet."""
+    rng = random.Random(2)
+    bad = [f"{a}{b}{c}{d}x" for a in "abcdefgz" for b in "aeiou" for c in "klmnpqrst" for d in "uvwxyz"] + ["qx", "zzz", "毒"]
+    clean = [f"good{i}" for i in range(300)] + ["qxa", "be", "zza"]
+    rows = [(" ".join(rng.sample(clean, 8) + part), 1) for k in range(4) for order in [rng.sample(bad, len(bad))] for part in (order[i::40] for i in range(40))] + [(" ".join(rng.sample(clean, 8)), 0) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    scorer = Scorer(model)
+    assert len(bad) > 2000 and all(scorer.total(w.encode())[1] == 1 for w in bad) and not any(scorer.total(w.encode())[1] for w in clean)
+
+
 def test_held_out(spark):
     import os
 
