@@ -10,7 +10,8 @@ spanning forest, never pairs.  Equal vectors are one class first, so a large gro
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
 nothing and are their own component; vectors of different length link with nothing; repeated rows are vectors each; a
-null vec_id takes part and has the component of its links; an empty table gives an empty result; other columns are ignored.
+null vec_id takes part and has the component of its links; labels of any type are compared as they are; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +28,32 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, forest, hash_sample
 
-#: Vectors, about, to which the index is fitted; every vector is indexed.
-SAMPLE_VECTORS = 8192
+#: Vectors, about, to which the index is fitted: the least and the most; every vector is indexed.
+SAMPLE_VECTORS, SAMPLE_MOST = 8192, 65_536
 #: Vectors of one length in the sample, at least, to which an index is fitted.
 LEAST_VECTORS = 64
-#: Members, about, of an inverted list, up to MAX_LISTS lists; and of a block, of which a list has as many as it needs.
+#: Members, about, of an inverted list, and vectors of the sample that fit one centre; members of a block, of which a
+#: list has as many as it needs.
 LIST_SIZE = 2048
-MAX_LISTS = 1024
+FIT_SIZE = 8
 BLOCK_SIZE = 1024
 SUBSPACES = 8
 CODES = 64
 ROUNDS = 12
 
 
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each point, a block of points at a time."""
+    step, squares = max(1, (1 << 22) // len(centres)), (centres**2).sum(axis=1)
+    parts = [(points[i : i + step] @ centres.T * -2 + squares).argmin(axis=1) for i in range(0, len(points), step)]
+    return np.concatenate([*parts, np.zeros(0, np.int64)])
+
+
 def kmeans(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     k = min(k, len(points))
     centres = points[rng.choice(len(points), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = (points @ centres.T * -2 + (centres**2).sum(axis=1)).argmin(axis=1)
+        near = nearest(points, centres)
         sums, n = np.zeros_like(centres), np.bincount(near, minlength=k)
         np.add.at(sums, near, points)
         centres[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -63,22 +72,18 @@ class Index:
     def fit(cls, points: np.ndarray, lists: int, seed: int = 5) -> Index:
         rng = np.random.default_rng(seed)
         centres = kmeans(points, lists, rng)
-        rest = points - centres[cls.nearest(points, centres)]
+        rest = points - centres[nearest(points, centres)]
         parts = min(SUBSPACES, points.shape[1])
         cuts = [points.shape[1] * i // parts for i in range(parts + 1)]
         return cls(centres, [kmeans(rest[:, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:])], cuts)
 
-    @staticmethod
-    def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        return (points @ centres.T * -2 + (centres**2).sum(axis=1)).argmin(axis=1)
-
     def encode(self, points: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the quantisation error of each point."""
         rest = points - self.centres[cells]
         codes = np.empty((len(points), len(self.books)), np.uint8)
         error = np.zeros(len(points))
         for m, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
-            codes[:, m] = self.nearest(rest[:, a:b], book)
+            codes[:, m] = nearest(rest[:, a:b], book)
             error += ((rest[:, a:b] - book[codes[:, m]]) ** 2).sum(axis=1)
         return codes, np.sqrt(error)
 
@@ -106,14 +111,14 @@ class Index:
         return total
 
 
-def link_unit(frame: pd.DataFrame, indexes: dict[int, Index], least: float) -> tuple[pd.DataFrame, int]:
+def link_unit(frame: pd.DataFrame, indexes: dict[int, Index], least: float, kind: type = np.float32) -> tuple[pd.DataFrame, int]:
     """Sums and forest of one unit; and how many exact cosines it took."""
     members, queries = frame[~frame["query"]], frame[frame["query"]]
     out = pd.DataFrame({"cid": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
     if members.empty or queries.empty:
         return out, 0
     dim, cell = int(frame["dim"].iloc[0]), int(frame["cell"].iloc[0])
-    x, y = (unit_vectors(np.frombuffer(b"".join(z["vec"]), np.float32).reshape(-1, dim)) for z in (queries, members))
+    x, y = (unit_vectors(np.frombuffer(b"".join(z["vec"]), kind).reshape(-1, dim)) for z in (queries, members))
     qid, mid = queries["cid"].to_numpy(), members["cid"].to_numpy()
     qmult, mmult = queries["mult"].to_numpy(), members["mult"].to_numpy()
     own = queries["own"].to_numpy()
@@ -156,7 +161,7 @@ def unit_vectors(raw: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1))[:, None]
 
 
-_ASSIGNED = "cid long, mult long, label long, dim int, vec binary, cell int, codes binary, error double, probes array<int>"
+_ASSIGNED = "cid long, mult long, label {label}, dim int, vec binary, cell int, codes binary, error double, probes array<int>"
 
 
 def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -165,14 +170,19 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     scratch = Scratch(spark, "embeddings")
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     valid = F.col("label").isNotNull() & F.coalesce(F.forall("embedding", good) & F.exists("embedding", lambda c: c != 0), F.lit(False))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label")).withColumn("valid", valid)
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # other numbers travel in double precision
+    kind, label = np.float32 if single else np.float64, vectors.schema["label"].dataType.simpleString()
+    embedding = F.col("embedding").cast("array<float>" if single else "array<double>")
+    rows = vectors.select("vec_id", embedding.alias("embedding"), "label").withColumn("valid", valid)
     rows = rows.withColumn("cid", F.when(F.col("valid"), F.xxhash64("label", "embedding")))
     classes = rows.where("valid").groupBy("cid", "label", "embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"))
     classes = scratch.write(classes, "classes")
 
     size = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    lists = min(MAX_LISTS, max(1, math.ceil(size["n"] / (LIST_SIZE * max(1, size["labels"])))))
-    sample = hash_sample(classes.select("cid", "embedding"), "cid", SAMPLE_VECTORS, size["n"]).toArrow().sort_by("cid").column("embedding").combine_chunks()
+    lists = max(1, math.ceil(size["n"] / (LIST_SIZE * max(1, size["labels"]))))
+    wanted = min(SAMPLE_MOST, max(SAMPLE_VECTORS, FIT_SIZE * lists))
+    lists = min(lists, wanted // FIT_SIZE)
+    sample = hash_sample(classes.select("cid", "embedding"), "cid", wanted, size["n"]).toArrow().sort_by("cid").column("embedding").combine_chunks()
     dims = np.diff(sample.offsets.to_numpy())
     flat, starts = sample.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
     indexes = {}
@@ -187,7 +197,7 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             n = b.num_rows
             vecs = b.column(3)
             dims = np.diff(vecs.offsets.to_numpy(zero_copy_only=False))
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(kind)
             starts = np.concatenate([[0], np.cumsum(dims)])
             cell, error = np.zeros(n, np.int32), np.zeros(n)
             codes: list = [b""] * n
@@ -197,7 +207,7 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                     continue
                 index, at = indexes[int(dim)], np.flatnonzero(dims == dim)
                 points = unit_vectors(np.stack([flat[starts[i] : starts[i + 1]] for i in at]))
-                cells = index.nearest(points, index.centres)
+                cells = nearest(points, index.centres)
                 code, err = index.encode(points, cells)
                 cell[at], error[at] = cells, err
                 for i, c in zip(at, code):
@@ -211,7 +221,7 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 names=["cid", "mult", "label", "dim", "vec", "cell", "codes", "error", "probes"],
             )
 
-    assigned = scratch.write(classes.select("cid", "mult", "label", "embedding").mapInArrow(assign, _ASSIGNED), "assigned")
+    assigned = scratch.write(classes.select("cid", "mult", "label", "embedding").mapInArrow(assign, _ASSIGNED.format(label=label)), "assigned")
     blocks = assigned.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK_SIZE).cast("int").alias("blocks"))
     blocks = scratch.write(blocks, "blocks")
     block = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks")).cast("int")
@@ -224,7 +234,7 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     probing = probing.withColumn("q", block).select(*keys, every.alias("m"), "q", "cid", "mult", "vec", "codes", "error", F.lit(True).alias("query"), F.lit(False).alias("own"))
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        return link_unit(frame, indexes, least)[0]
+        return link_unit(frame, indexes, least, kind)[0]
 
     units = members.unionByName(inside).unionByName(probing).groupBy(*keys, "m", "q")
     found = scratch.write(units.applyInPandas(link, "cid long, links long, root long"), "links")

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from graphloom.llm.embed_dedup import Index, find_near, unit_vectors
+from graphloom.llm.embed_dedup import Index, find_near, nearest, unit_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string, links string, root string, cell string"
 
@@ -46,6 +46,22 @@ def test_against_brute_force(spark):
     assert find_near(df.limit(0)).count() == 0
 
 
+def test_doubles_and_text_labels(spark):
+    """Cosines that a cast to single precision would move over the bound, numbers beyond its range, labels of text."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        x, y = rng.normal(size=6), rng.normal(size=6)
+        x /= math.sqrt(x @ x)
+        y -= (y @ x) * x
+        y /= math.sqrt(y @ y)
+        z = 0.98 * x + math.sqrt(1 - 0.98**2) * y + (1e-12, -1e-12)[i % 2] * x
+        rows += [(2 * i, x.tolist(), f"l{i % 7}"), (2 * i + 1, z.tolist(), f"l{i % 7}")]
+    rows += [(900, [1e100, 2e100], "é"), (901, [1e-100, 2e-100], "é"), (902, [1.0, 2.0], ""), (903, [1.0, 2.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    assert sorted(map(tuple, find_near(df).collect()), key=str) == brute(rows, 0.98)
+
+
 def test_many_lists_and_blocks_lose_nothing(spark, monkeypatch):
     import graphloom.llm.embed_dedup as e
 
@@ -62,7 +78,7 @@ def test_index_bounds():
     rng = np.random.default_rng(7)
     x = unit_vectors(rng.normal(size=(500, 32)))
     index = Index.fit(x, 8)
-    cells = index.nearest(x, index.centres)
+    cells = nearest(x, index.centres)
     codes, error = index.encode(x, cells)
     for cell in range(len(index.centres)):
         own = np.flatnonzero(cells == cell)
