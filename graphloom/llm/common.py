@@ -185,7 +185,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 
 #: Scripts without spaces: code points from, to.
-_UNSPACED = (
+UNSPACED = (
     (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
     (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
     (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
@@ -198,7 +198,7 @@ def character_classes(table: str) -> tuple[np.ndarray, np.ndarray]:
     kinds = np.ones(0x110000, np.uint8)
     if table == "alnum":
         kinds[0x80:0x20000] = [unicodedata.category(chr(c))[0] not in "PZC" for c in range(0x80, 0x20000)]
-    for first, last in _UNSPACED:
+    for first, last in UNSPACED:
         kinds[first : last + 1] *= 2
     leads = np.zeros(256, np.bool_)
     leads[[chr(c).encode("utf-8", "surrogatepass")[0] for c in range(0x80, 0x110000, 0x40) if (kinds[c : c + 0x40] != 1).any()]] = True

@@ -9,9 +9,10 @@ A document is the set of its distinct word n-grams.  Two documents link when 100
    that link share an n-gram of both prefixes.  Length, positional and suffix filters are applied to the classes that meet
    there; the suffix filter bounds the difference of two sets from below by their counts in ranges of the hash.  The pairs
    that pass are not written: an n-gram returns a spanning forest of them, so a group of any size costs one row a member.
+   An n-gram that many classes share is dealt out in units of two blocks of similar sizes.
 3. The components of these forests are the candidate groups: no pair in two of them can link.  Each set goes to its group,
-   a group is dealt out in units of two blocks, and a unit counts the intersections of its pairs exactly, each pair once,
-   and returns a spanning forest of the links.
+   a group is dealt out in units of two blocks of similar sizes, and none of two whose sizes cannot link.  A unit counts
+   the intersections of its pairs exactly, each pair once, and returns the number of links of each set and a spanning forest.
 
 Defined results: null text, or text without words, has an empty set and is its own component; with fewer than n words the
 whole sequence is one n-gram; repeated rows are documents each; a null doc_id takes part, and its component is the
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_blocks, byte_codes, class_table, connected_components, forest, lower_table, mix64, pack, span_hashes, string_buffer, unpack, word_spans
@@ -37,8 +38,11 @@ BUCKET_NAMES, LEAST_BUCKETS = 1 << 21, 256
 NAME_BYTES = 5
 #: Ranges of the hash whose counts make the suffix filter.
 RANGES = 64
-#: Sets, and n-grams in them, that a block of a candidate group holds, about.
+#: Sets, and n-grams in them, that a block holds, about; a group makes EVEN_BLOCKS blocks, of LEAST_SETS at least, before they grow.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 19
+EVEN_BLOCKS, LEAST_SETS = 8, 128
+#: Rows of one n-gram that one task compares.
+HOT_ROWS = 2048
 #: Sets that may share an n-gram for it to be counted pair by pair; above, it is counted as a row of a matrix product.
 SPARSE = 16
 
@@ -201,16 +205,18 @@ def _prefixes(gram: int, percent: int, buckets: int):
     return run
 
 
-def candidate_forest(key: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that pass all filters, among classes that share one n-gram."""
+def candidate_forest(key: np.ndarray, n: np.ndarray, pos: np.ndarray, ranges: np.ndarray, percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that pass all filters, among classes that share one n-gram; of different sides, if given."""
     _, once = np.unique(key, return_index=True)  # a class may come from several tasks
-    key, n, pos, ranges = key[once], n[once], pos[once], ranges[once]
-    order = np.argsort(n, kind="stable")  # sets that pass the length filter are neighbours
+    order = once[np.argsort(n[once], kind="stable")]  # sets that pass the length filter are neighbours
     key, n, pos, ranges = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), ranges[order].astype(np.int16)
+    side = side[order] if side is not None else None
     stop = np.searchsorted(n, 100 * n // percent, side="right")
     part, left, edges = np.arange(len(key)), len(key), []
     for i in range(len(key) - 1):
         j = np.arange(i + 1, stop[i])
+        if side is not None:
+            j = j[side[j] != side[i]]
         j = j[(part[j] != part[i]) & passes(n[i], pos[i], n[j], pos[j], percent)]
         if not len(j):
             continue
@@ -260,6 +266,19 @@ def _forests(percent: int):
     return run
 
 
+def _hot_unit(percent: int):
+    """candidate_forest of two blocks of the rows of one n-gram."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        ranges = np.frombuffer(b"".join(frame["ranges"]), np.uint8).reshape(-1, RANGES)
+        side = frame["block"].to_numpy() if first != second else None
+        edges = candidate_forest(*(frame[c].to_numpy() for c in ("key", "n", "pos")), ranges, percent, side)
+        return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return run
+
+
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sets."""
     grams = np.concatenate([*sets, *others])
@@ -287,13 +306,16 @@ def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+_LINKS = "key long, root long, links long"
+
+
 def _link_unit(percent: int):
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         first, second = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         left = frame[frame["block"] == first]
         right = frame[frame["block"] == second]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("key", "root", "links")})
         x, y = ([np.frombuffer(g, np.uint64) for g in f["grams"]] for f in (left, right))
         both = overlaps(x, y)
         nx, ny = np.array([len(g) for g in x]), np.array([len(g) for g in y])
@@ -303,13 +325,34 @@ def _link_unit(percent: int):
             good &= kx[:, None] < ky[None]
         a, b = np.nonzero(good)
         keys, place = np.unique(np.concatenate([kx, ky]), return_inverse=True)
-        root = forest(len(keys), place[: len(kx)][a], place[len(kx) :][b])
-        moved = np.flatnonzero(root != np.arange(len(keys)))
-        return pd.DataFrame({"a": keys[moved], "b": keys[root[moved]]})
+        a, b, ma, mb = place[: len(kx)][a], place[len(kx) :][b], left["mult"].to_numpy()[a], right["mult"].to_numpy()[b]
+        links = np.bincount(a, weights=mb, minlength=len(keys)) + np.bincount(b, weights=ma, minlength=len(keys))
+        used = np.flatnonzero(links)
+        return pd.DataFrame({"key": keys[used], "root": keys[forest(len(keys), a, b)[used]], "links": links[used].astype(np.int64)})
 
     return link
 
 
+def _in_blocks(scratch: Scratch, members: DataFrame, percent: int, blocks: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(group, key, block) of members (group, key, n) in order of n, and (group, block, other): the blocks that each must meet.
+
+    ``blocks`` is the number of blocks of a group, from its ``members`` and ``grams``.  Order comes from counts by size.
+    """
+    sizes = members.groupBy("group", "n").agg(F.count("*").alias("own"))
+    by_size = Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("group")
+    sizes = sizes.select("group", "n", "own", F.coalesce(F.sum("own").over(by_size), F.lit(0)).alias("before"), F.sum("own").over(whole).alias("members"), F.sum(F.col("own") * F.col("n")).over(whole).alias("grams"))
+    sizes = scratch.write(sizes.withColumn("blocks", F.greatest(F.lit(1), blocks).cast("long")), f"{name}-sizes")
+    place = F.col("before") + F.pmod(F.xxhash64("key"), F.col("own"))
+    dealt = members.join(sizes, ["group", "n"]).withColumn("place", place)
+    dealt = dealt.select("group", "key", "n", F.expr("place * blocks div members").cast("int").alias("block"))
+    dealt = scratch.write(dealt, f"{name}-dealt")
+    ends = dealt.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = ends.select("group", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    meet = F.least("high", "high2") * 100 >= F.greatest("low", "low2") * percent
+    return dealt, ends.join(other, "group").where(meet).select("group", "block", "other")
+
+
 def _own_sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,7 +363,7 @@ def _own_sets(gram: int):
 
 
 def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links (other documents linked directly) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     chunks = scratch.write(docs.select("doc_id", "text").mapInArrow(_chunks(gram), _CHUNK), "chunks")
@@ -340,30 +383,49 @@ def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     scratch.release()
 
     rows = found.where("gram is not null").select("gram", "key", "n", "pos", "ranges")
-    pairs = rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_forests(percent), "a long, b long")
+    pairs = _candidates(scratch, rows, percent)
     groups = connected_components(scratch, pairs, "groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
     own = found.where("text is not null").select("key", "text")
-    edges = scratch.write(_links(scratch, own, groups, sets, gram, percent), "links")
-    roots = connected_components(scratch, edges, "linked")
+    found = scratch.write(_links(scratch, own, groups, sets, gram, percent), "links")
+    roots = connected_components(scratch, found.select(F.col("key").alias("a"), F.col("root").alias("b")), "linked")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
     scratch.drop("prefixes")
 
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     named = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = named.join(links, "key", "left").withColumn("n_links", F.col("mult") - 1 + F.coalesce("links", F.lit(0))).drop("links", "mult")
     named = scratch.write(named, "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = named.join(least, "root").select("key", "component_id")
-    linked = sets.where("n > 0").join(per_class, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    per_class = named.join(least, "root").select("key", "component_id", "n_links")
+    linked = sets.where("n > 0").join(per_class, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def _candidates(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
+    """Forests (a, b) of the pairs that pass the filters, of each n-gram in one task or, above HOT_ROWS rows, in units."""
+    hot = scratch.write(rows.groupBy("gram").count().where(F.col("count") > HOT_ROWS).select("gram"), "hot")
+    many = hot.count()
+    if not many:
+        return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_forests(percent), "a long, b long")
+    hot = F.broadcast(hot) if many <= 10_000 else hot
+    cold = rows.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram").mapInArrow(_forests(percent), "a long, b long")
+    own = rows.join(hot, "gram").withColumnRenamed("gram", "group")
+    own = scratch.write(own.groupBy("group", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("ranges").alias("ranges")), "hot-rows")
+    dealt, units = _in_blocks(scratch, own.select("group", "key", "n"), percent, F.ceil(F.col("members") / (HOT_ROWS // 2)), "hot")
+    own = own.join(dealt.drop("n"), ["group", "key"]).join(units, ["group", "block"])
+    own = own.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos", "ranges")
+    return cold.unionByName(own.groupBy("group", "i", "j").applyInPandas(_hot_unit(percent), "a long, b long"))
 
 
 def _links(scratch: Scratch, texts: DataFrame, groups: DataFrame, sets: DataFrame, gram: int, percent: int) -> DataFrame:
-    """A forest of the links inside candidate groups (key, group), from sets made again of one text of each class."""
-    sizes = sets.groupBy("key").agg(F.first("n").alias("n"))
-    members = groups.join(sizes, "key")
-    size = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    members = scratch.write(members.select("key", "group", "blocks", "block"), "members")
+    """Links inside candidate groups (key, group), from sets made again of one text of each class: (key, root, links) of units."""
+    sizes = sets.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("mult"))
+    members = scratch.write(groups.join(sizes, "key"), "members")
+    m = F.col("members")
+    blocks = F.greatest(F.ceil(m / BLOCK_SETS), F.least(F.lit(EVEN_BLOCKS), F.ceil(m / LEAST_SETS)), F.ceil(F.col("grams") / BLOCK_GRAMS))
+    dealt, units = _in_blocks(scratch, members.select("group", "key", "n"), percent, blocks, "members")
+    dealt = dealt.select("group", "key", "block").join(members.select("key", "mult"), "key")
     own = texts.join(members.select("key"), "key").dropDuplicates(["key"]).mapInArrow(_own_sets(gram), "key long, grams binary")
-    dealt = own.join(members, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "grams")
-    return dealt.groupBy("group", "i", "j").applyInPandas(_link_unit(percent), "a long, b long")
+    own = own.join(dealt, "key").join(units, ["group", "block"])
+    own = own.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "mult", "grams")
+    return own.groupBy("group", "i", "j").applyInPandas(_link_unit(percent), _LINKS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embed_dedup, langid, ngram_join, suffix_dedup, toxicity
 from .chat_template import format_conversations, read_back
-from .common import id_remainder, read_table
+from .common import UNSPACED, id_remainder, read_table
 from .html_extract import extract
 from .license_scan import scan_licenses
 from .mixing import mix
@@ -107,7 +107,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_OP2 = """
+_OWN = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in UNSPACED)
+
+_OP2 = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 p AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
 twice AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
@@ -116,9 +118,21 @@ islands AS (SELECT doc_id, i, count(*) FILTER (gap IS NULL OR gap > 400) OVER (P
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM islands GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
 cut AS (SELECT g.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS gone, count(*) AS spans
-  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
-SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, r) AS w, regexp_split_to_array(t, r) AS blanks
+  FROM (SELECT doc_id, coalesce(text, '') AS t, '[{_OWN}]|[^\x20\x09-\x0D{_OWN}]+' AS r FROM documents)),
+places AS (SELECT doc_id, k, n, sum(n + b) OVER (PARTITION BY doc_id ORDER BY k) AS stop
+  FROM (SELECT doc_id, k, octet_length(encode(w[k])) AS n, octet_length(encode(blanks[k])) AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM w))),
+grams AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM w)),
+shared AS (SELECT g FROM grams GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+begins AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM grams SEMI JOIN shared USING (g)),
+parts AS (SELECT doc_id, i, count(*) FILTER (gap IS NULL OR gap > 50) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM begins),
+passages AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM parts GROUP BY doc_id, run),
+found AS (SELECT p.doc_id, count(*) AS passages, sum(y.stop - x.stop + x.n) AS bytes
+  FROM passages p JOIN places x ON x.doc_id = p.doc_id AND x.k = p.a JOIN places y ON y.doc_id = p.doc_id AND y.k = p.b GROUP BY p.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+  coalesce(passages, 0)::BIGINT AS n_passages, coalesce(bytes, 0)::BIGINT AS n_passage_bytes
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
 """
 
 _REACH = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b)"""
@@ -146,7 +160,7 @@ WITH RECURSIVE w AS (
   SELECT p.id AS x, q.id AS y FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id JOIN n np ON np.id = p.id JOIN n nq ON nq.id = q.id
   GROUP BY p.id, q.id, np.n, nq.n HAVING 100 * count(*) >= 85 * (np.n + nq.n - count(*))
 ), {_REACH}
-SELECT n.id AS doc_id, n.n AS n_shingles, min(b) AS component_id FROM n JOIN reach ON reach.a = n.id GROUP BY n.id, n.n
+SELECT n.id AS doc_id, n.n AS n_shingles, min(b) AS component_id, (SELECT count(*) FROM links WHERE x = n.id) AS n_links FROM n JOIN reach ON reach.a = n.id GROUP BY n.id, n.n
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": _OP2, "op6_embedding_near_dedup": _OP6, "op7_ngram_jaccard_join": _OP7, "op9_chat_formatting": _OP9}

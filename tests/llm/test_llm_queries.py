@@ -8,12 +8,12 @@ from graphloom.llm import queries
 # What each query returns first, and the table of which it has a row each.
 CONTRACT = {
     "op1_license_scan": ("documents", "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"),
-    "op2_suffix_dedup": ("documents", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"),
+    "op2_suffix_dedup": ("documents", "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, n_passage_bytes bigint"),
     "op3_language_id": ("documents", "doc_id bigint, held_out boolean, lang_pred string, score double"),
     "op4_decontamination": ("documents", "doc_id bigint, n_items bigint, item_ids string, similarity double, contaminated boolean"),
     "op5_mixing": ("documents", "doc_id bigint, size bigint, source_size bigint, target double, taken bigint"),
     "op6_embedding_near_dedup": ("embeddings", "vec_id bigint, n_links bigint, component_id bigint, kept boolean"),
-    "op7_ngram_jaccard_join": ("documents", "doc_id bigint, n_shingles bigint, component_id bigint"),
+    "op7_ngram_jaccard_join": ("documents", "doc_id bigint, n_shingles bigint, component_id bigint, n_links bigint"),
     "op8_html_extraction": ("pages", "page_id bigint, url string, text string, n_chars bigint"),
     "op9_chat_formatting": (None, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"),
     "op10_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),

@@ -32,16 +32,19 @@ def brute(rows, gram, percent):
             x = root[x]
         return x
 
+    links = [0] * len(rows)
     for i, s in enumerate(sets):
         for j, n in Counter(j for g in s for j in having[g] if j < i).items():
             if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+                links[i] += 1
+                links[j] += 1
     least = defaultdict(list)
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)].append(r[0])
-    return Counter((r[0], len(sets[i]), r[0] if not sets[i] else min(least[find(i)], default=None)) for i, r in enumerate(rows))
+    return Counter((r[0], len(sets[i]), r[0] if not sets[i] else min(least[find(i)], default=None), links[i]) for i, r in enumerate(rows))
 
 
 @pytest.mark.parametrize("gram,percent", [(4, 85), (5, 80)])
@@ -60,9 +63,15 @@ def test_groups_of_near_copies_in_blocks(spark, monkeypatch):
             for _ in range(rng.randrange(0, 9)):
                 own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
             rows.append((len(rows) * 3 % 241, " ".join(own)))
+    for family in range(40):  # one n-gram that many share who are no near copies, of all sizes
+        rows.append((len(rows) * 3, "a very common phrase " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60)))))
     monkeypatch.setattr(module, "BLOCK_SETS", 16)
+    monkeypatch.setattr(module, "LEAST_SETS", 4)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    assert Counter(map(tuple, ngram_join(docs, 4, 85).collect())) == brute(rows, 4, 85)
+    wanted = brute(rows, 4, 85)
+    for hot in (2048, 12):
+        monkeypatch.setattr(module, "HOT_ROWS", hot)
+        assert Counter(map(tuple, ngram_join(docs, 4, 85).collect())) == wanted
 
 
 def test_empty(empty):
