@@ -161,7 +161,7 @@ def graph_manifest(vertices: DataFrame, compact: DataFrame, edge_slice_size: int
 
 def encode_manifest(row) -> str:
     """Canonical JSON of a manifest row: keys in order, no blanks, one line."""
-    return json.dumps(row.asDict(), separators=(",", ":")) + "\n"
+    return json.dumps(row if isinstance(row, dict) else row.asDict(), separators=(",", ":")) + "\n"
 
 
 def parse_manifest(text: str) -> dict:

@@ -5,10 +5,10 @@ Boundaries depend on degrees and limits alone, never on the number of partitions
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ..schema import TASKS
 from .graph import dense_index
 
 ORDINARY, HUB = 1, 2
+#: Destinations, about, that one task packs.
+BLOCK_VERTICES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -57,33 +59,57 @@ def hub_slices(in_degrees: DataFrame, limits: TaskLimits) -> DataFrame:
 def ordinary_tasks(in_degrees: DataFrame, limits: TaskLimits) -> DataFrame:
     """Greedy packing: a task ends before a hub, at the vertex limit, or where the next count would pass the edge limit.
 
-    A step depends on the one before, so one task reads the counts in order: a few bytes a vertex, streamed.
+    Where a task that begins at a destination ends depends only on the next few, so blocks of destinations, each with the
+    vertices of one task of the block behind it, find all ends at once.  A block tells, for each place where a task may
+    first begin in it, where the first task of the next block begins.  The driver follows these maps, a few bytes for
+    each place: at most 4096 blocks, since ids have 32 bits.  Then each block makes its tasks from its beginning.
     """
-    rows = edge_offsets(in_degrees).select("idx", "degree", "edge_begin").repartition(1).sortWithinPartitions("idx")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: list[int] | None = None  # first, vertices, edges before, edges
-        for b in batches:
-            out: list[tuple[int, ...]] = []
-            for idx, degree, begin in zip(*(c.to_pylist() for c in b.columns)):
-                hub = degree > limits.edge_slice_size
-                if open_ and (hub or open_[1] == limits.max_task_vertices or open_[3] + degree > limits.max_task_edges):
-                    out.append((ORDINARY, open_[0], open_[1], 0, open_[2], open_[3]))
-                    open_ = None
-                if not hub:
-                    open_ = open_ or [idx, 0, begin, 0]
-                    open_[1] += 1
-                    open_[3] += degree
-            yield _batch(out)
-        if open_:
-            yield _batch([(ORDINARY, open_[0], open_[1], 0, open_[2], open_[3])])
-
-    return rows.mapInArrow(pack, TASKS)
-
-
-def _batch(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
-    kinds = [pa.int32()] + [pa.int64()] * 5
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["tag", "a", "b", "c", "edge_begin", "edge_count"])
+    reach = limits.max_task_vertices
+    size = max(BLOCK_VERTICES, 16 * reach)
+    rows = edge_offsets(in_degrees).select("idx", "degree", "edge_begin")
+    n = (rows.agg(F.max("idx")).first()[0] or 0) + 1
+    own = F.floor(F.col("idx") / size).cast("int")
+    behind = (F.col("idx") % size < reach) & (F.col("idx") >= size)
+    blocks = rows.withColumn("block", F.explode(F.when(behind, F.array(own, own - 1)).otherwise(F.array(own)))).groupBy("block")
+
+    def exits(frame: pd.DataFrame) -> pd.DataFrame:
+        first, ends, _, _ = _task_ends(frame, limits, size)
+        last = min(size, n - first)
+        to = ends
+        while (to[:last] < last).any():  # a pointer jumps twice as far each time
+            inside = to < last
+            to = np.where(inside, to[np.minimum(to, last - 1)], to)
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "exits": [(to[:reach] - last).astype(np.int32).tobytes()]})
+
+    begins, at = [], 0
+    for r in sorted(blocks.applyInPandas(exits, "block int, exits binary").collect()) if n > size else []:
+        begins.append((r["block"], at))
+        at = int(np.frombuffer(r["exits"], np.int32)[at])
+    begin = dict(begins)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        first, ends, edges, hub = _task_ends(frame, limits, size)
+        at, last, found = begin.get(int(frame["block"].iloc[0]), 0), min(size, n - first), []
+        while at < last:
+            if not hub[at]:
+                found.append((ORDINARY, first + at, int(ends[at]) - at, 0, int(edges[at]), int(edges[ends[at]] - edges[at])))
+            at = int(ends[at])
+        return pd.DataFrame(found, columns=["tag", "a", "b", "c", "edge_begin", "edge_count"])
+
+    return blocks.applyInPandas(pack, TASKS)
+
+
+def _task_ends(frame: pd.DataFrame, limits: TaskLimits, size: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(first destination, where a task ends that begins at each place, edges before each place, which are hubs) of a block."""
+    frame = frame.sort_values("idx")
+    degree = frame["degree"].to_numpy()
+    edges = np.concatenate([frame["edge_begin"].to_numpy(), [frame["edge_begin"].iloc[-1] + degree[-1]]])
+    hub = degree > limits.edge_slice_size
+    place = np.arange(len(degree))
+    next_hub = np.minimum.accumulate(np.where(hub, place, len(degree))[::-1])[::-1]
+    full = np.searchsorted(edges, edges[:-1] + limits.max_task_edges, side="right") - 1
+    ends = np.minimum(np.minimum(place + limits.max_task_vertices, next_hub), full)
+    return int(frame["block"].iloc[0]) * size, np.where(hub, place + 1, ends), edges, hub
 
 
 def task_partition(in_degrees: DataFrame, limits: TaskLimits) -> DataFrame:

@@ -72,6 +72,34 @@ SELECT s::INT AS src, (CASE WHEN o = 1 AND s BETWEEN 25 AND 45 THEN 0 WHEN o = 1
 FROM range(0, 101) a(s), range(1, 5) b(o) WHERE NOT (o = 4 AND s < 21)
 UNION ALL SELECT 100, x::INT FROM range(4, 25) h(x)"""
 
+
+
+def _invariants(vertices: str, edges: str, in_degrees: str, out_degrees: str) -> str:
+    """name, violations: each counted from the tables."""
+    n, e = f"(SELECT count(*) FROM {vertices})", f"(SELECT count(*) FROM {edges})"
+    counts = {
+        "ids_ascending": f"SELECT count(*) FROM {vertices} a JOIN {vertices} b ON b.idx = a.idx + 1 WHERE a.vid >= b.vid",
+        "ids_dense": f"SELECT count(*) FILTER (idx < 0 OR idx >= {n}) + count(*) - count(DISTINCT idx) FROM {vertices}",
+        "edge_ends_in_range": f"SELECT count(*) FROM {edges} WHERE least(dst_idx, src_idx) < 0 OR greatest(dst_idx, src_idx) >= {n}",
+        "edges_unique": f"SELECT count(*) FROM (SELECT 1 FROM {edges} GROUP BY dst_idx, src_idx HAVING count(*) > 1)",
+        "in_degree_range": f"SELECT count(*) FROM {in_degrees} WHERE degree > {n}",
+        "out_degree_range": f"SELECT count(*) FROM {out_degrees} WHERE degree > {n}",
+        "in_degree_sum": f"SELECT abs(sum(degree) - {e}) FROM {in_degrees}",
+        "out_degree_sum": f"SELECT abs(sum(degree) - {e}) FROM {out_degrees}",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, ({sql})::BIGINT AS violations" for name, sql in counts.items())
+
+
+def _validation(tasks: str, vertices: int) -> str:
+    """name, violations of tasks under limits of 64, 256 and ``vertices``: each counted from the tables."""
+    return f"""later AS (SELECT *, lead(tag) OVER w AS next_tag, lead(a) OVER w AS next_a, lead(edge_begin) OVER w AS next_begin FROM {tasks} WINDOW w AS (ORDER BY a, CASE tag WHEN 2 THEN b ELSE 0 END)),
+  near AS (SELECT later.*, degree AS next_degree FROM later LEFT JOIN ind ON ind.idx = next_a)
+  SELECT 'edge_gaps' AS name, count(*) FILTER (next_begin <> edge_begin + edge_count) AS violations FROM near
+  UNION ALL SELECT 'destination_gaps', count(*) FILTER (next_a <> CASE WHEN tag = 1 THEN a + b WHEN b + 1 = c THEN a + 1 ELSE a END) FROM near
+  UNION ALL SELECT 'early_ends', count(*) FILTER (tag = 1 AND next_tag = 1 AND b < {vertices} AND edge_count + next_degree <= 256) FROM near
+  UNION ALL SELECT 'limits', count(*) FILTER (CASE WHEN tag = 1 THEN b > {vertices} OR edge_count > 256 AND b > 1 ELSE edge_count > 64 END) FROM near"""
+
+
 ORACLES: dict[str, str] = {
     "endpoint_explode": f"WITH {RAW} SELECT vid, count(*) AS n FROM (SELECT src AS vid FROM raw UNION ALL SELECT dst FROM raw) GROUP BY 1",
     "distinct_vertices": f"WITH {RAW} SELECT src AS vid FROM raw UNION SELECT dst FROM raw",
@@ -90,15 +118,11 @@ ORACLES: dict[str, str] = {
     "degree_statistics": f"{SUPPLY} " + " UNION ALL ".join(f"SELECT '{d}' AS direction, min(degree) AS least, max(degree) AS most, round(sum(degree)::DOUBLE / count(*), 10) AS mean, sum(degree)::BIGINT AS edges FROM {d}d" for d in ("in", "out")),
     "dangling_vertices": f"{SUPPLY} SELECT idx FROM outd WHERE degree = 0",
     "hub_vertices": f"{SUPPLY} SELECT idx, degree FROM ind WHERE degree > 64",
-    "graph_invariants": "SELECT unnest(['ids_ascending', 'ids_dense', 'edge_ends_in_range', 'edges_unique', 'in_degree_range', 'out_degree_range', 'in_degree_sum', 'out_degree_sum']) AS name, 0::BIGINT AS violations",
-    "graph_invariants_broken": f"""{SUPPLY}, bad AS (SELECT dst_idx, src_idx FROM c UNION ALL SELECT dst_idx, src_idx FROM c WHERE dst_idx % 50 = 0
-  UNION ALL SELECT dst_idx + (SELECT count(*) FROM v), src_idx FROM c WHERE src_idx % 70 = 1), high AS (SELECT degree + CASE WHEN idx % 10 = 0 THEN (SELECT count(*) FROM v) ELSE 0 END AS degree FROM ind)
-  SELECT 'ids_ascending' AS name, 0::BIGINT AS violations UNION ALL SELECT 'ids_dense', 0
-  UNION ALL SELECT 'edge_ends_in_range', count(*) FROM bad WHERE dst_idx >= (SELECT count(*) FROM v)
-  UNION ALL SELECT 'edges_unique', count(*) FROM (SELECT 1 FROM bad GROUP BY dst_idx, src_idx HAVING count(*) > 1)
-  UNION ALL SELECT 'in_degree_range', count(*) FROM high WHERE degree > (SELECT count(*) FROM v) UNION ALL SELECT 'out_degree_range', 0
-  UNION ALL SELECT 'in_degree_sum', abs((SELECT sum(degree) FROM high) - (SELECT count(*) FROM bad))::BIGINT
-  UNION ALL SELECT 'out_degree_sum', abs((SELECT sum(degree) FROM outd) - (SELECT count(*) FROM bad))::BIGINT""",
+    "graph_invariants": f"{SUPPLY} {_invariants('v', 'c', 'ind', 'outd')}",
+    "graph_invariants_broken": f"""{SUPPLY}, bv AS (SELECT vid - CASE WHEN idx % 40 = 7 THEN 10000000 ELSE 0 END AS vid, idx FROM v WHERE idx % 100 <> 99), bc AS (SELECT dst_idx, src_idx FROM c
+  UNION ALL SELECT dst_idx, src_idx FROM c WHERE dst_idx % 50 = 0 UNION ALL SELECT dst_idx + (SELECT count(*) FROM v), src_idx FROM c WHERE src_idx % 70 = 1),
+  bi AS (SELECT degree + CASE WHEN idx % 10 = 0 THEN (SELECT count(*) FROM v) ELSE 0 END AS degree FROM ind), bo AS (SELECT degree + CASE WHEN idx % 30 = 0 THEN (SELECT count(*) FROM v) ELSE 0 END AS degree FROM outd)
+  {_invariants('bv', 'bc', 'bi', 'bo')}""",
     "graph_manifest": f"""{SUPPLY} SELECT (SELECT count(*) FROM v) AS vertex_count, (SELECT count(*) FROM c) AS edge_count, 64::BIGINT AS edge_slice_size, 256::BIGINT AS max_task_edges, 16::BIGINT AS max_task_vertices,
   'removed' AS duplicate_edges, 'preserved' AS self_loops, 'signed-int32-ascending' AS vertex_ids""",
     "int32_domain_filter": r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey * 1000003 - 2147483648)::VARCHAR WHEN 1 THEN '0' || o_orderkey WHEN 2 THEN '-' || o_orderkey ELSE o_orderkey || ' ' END AS value FROM orders)
@@ -107,11 +131,9 @@ ORACLES: dict[str, str] = {
     "task_partition": f"{TASKS} SELECT * FROM tasks",
     "task_summary": f"""{TASKS} SELECT count(*) AS tasks, count(*) FILTER (tag = 1) AS ordinary, count(*) FILTER (tag = 2) AS slices,
   (coalesce(sum(b) FILTER (tag = 1), 0) + count(*) FILTER (tag = 2 AND b = 0))::BIGINT AS destinations, sum(edge_count)::BIGINT AS edges FROM tasks""",
-    "task_validation": "SELECT unnest(['edge_gaps', 'destination_gaps', 'early_ends', 'limits']) AS name, 0::BIGINT AS violations",
+    "task_validation": f"{TASKS}, {_validation('tasks', 16)}",
     "task_validation_broken": f"""{TASKS.replace("vertices = 16", "vertices = 4")},
-  later AS (SELECT *, lead(tag) OVER (ORDER BY a, CASE tag WHEN 2 THEN b ELSE 0 END) AS next_tag, lead(a) OVER (ORDER BY a, CASE tag WHEN 2 THEN b ELSE 0 END) AS next_a FROM tasks)
-  SELECT 'edge_gaps' AS name, 0::BIGINT AS violations UNION ALL SELECT 'destination_gaps', 0 UNION ALL SELECT 'limits', 0
-  UNION ALL SELECT 'early_ends', count(*) FROM later JOIN ind ON ind.idx = next_a WHERE tag = 1 AND next_tag = 1 AND b < 16 AND edge_count + degree <= 256""",
+  bad AS (SELECT tag, a, b, c, edge_begin, edge_count + CASE WHEN edge_begin % 13 = 0 THEN 1 ELSE 0 END AS edge_count FROM tasks WHERE edge_begin % 11 <> 3), {_validation('bad', 3)}""",
     "slice_histogram": f"{SUPPLY} SELECT ((degree + 63) // 64)::BIGINT AS slices, count(*) AS vertices FROM ind GROUP BY 1",
     "contribution": f"{ONE} SELECT idx, round(r / d, 12) AS contribution FROM s1 WHERE d > 0",
     "dangling_mass": f"{ONE} SELECT round(coalesce(sum(r) FILTER (d = 0), 0), 10) AS dangling FROM s1",
@@ -128,9 +150,15 @@ ORACLES: dict[str, str] = {
     "pagerank_k20_join": f"{HOPS_GRAPH}, {_steps(20)} SELECT vid AS vertex, round(r, 10) AS rank FROM s20 JOIN v USING (idx)",
     "pagerank_trace": f"{TWENTY} " + " UNION ALL ".join(f"SELECT {i} AS iteration, round((SELECT mass FROM m{i}), 10) AS raw_mass, round((SELECT sum(abs(cand / mass - old)) FROM t{i}, m{i}), 10) AS delta_l1" for i in range(1, 21)),
     "pagerank_converged": f"{CONVERGED} SELECT vid AS vertex, round(r, 10) AS rank FROM states JOIN done USING (i) JOIN v USING (idx)",
-    "pagerank_report": f"""{CONVERGED} SELECT 'converged' AS status, i::INT AS iterations, (SELECT count(*) FROM checked c WHERE looked AND c.i <= done.i)::INT AS residual_checks,
-  (SELECT count(*) FROM v) AS vertex_count, true AS accepted, (SELECT residual / 0.15 < 1e-8 FROM trace t WHERE t.i = done.i) AS within_eta FROM done""",
+    "pagerank_report": f"""{CONVERGED}, masses AS ({" UNION ALL ".join(f"SELECT {i} AS i, mass FROM m{i}" for i in range(1, MOST + 1))}) SELECT 'converged' AS status, i::INT AS iterations, (SELECT count(*) FROM checked c WHERE looked AND c.i <= done.i)::INT AS residual_checks,
+  (SELECT count(*) FROM v) AS vertex_count, residual + 1.0::DOUBLE / 1073741824 + 0.85::DOUBLE * 1e-8::DOUBLE <= 1e-8::DOUBLE AS accepted,
+  round((SELECT max(abs(mass - 1)) FROM masses m WHERE m.i <= done.i), 10) AS max_mass_error, round(delta, 10) AS delta_l1, round(delta * 0.85 / 0.15, 10) AS step_error_bound, round(residual, 10) AS residual_l1,
+  round(residual / 0.15, 10) AS residual_error_bound, residual / 0.15 < 1e-8 AS within_eta FROM done JOIN trace USING (i)""",
     "top_k_ranks": f"{TWENTY} SELECT vid AS vertex, round(r, 10) AS rank FROM s20 JOIN v USING (idx) ORDER BY 2 DESC, 1 LIMIT 100",
+    "rank_csv_text": f"{TWENTY} SELECT vid AS vertex, vid || ',' || printf('%.17g', round(r, 10)) AS line FROM s20 JOIN v USING (idx)",
+    "strategies_agree": f"{HOPS_GRAPH}, {_steps(20)} SELECT count(*) AS vertices, 0::BIGINT AS differ, round(sum(r), 10) AS mass FROM s20",
+    "store_round_trip": f"""{TASKS} SELECT 'vertices' AS name, count(*) AS n FROM v UNION ALL SELECT 'in_edges', count(*) FROM c UNION ALL SELECT 'in_degree', count(*) FROM ind UNION ALL SELECT 'out_degree', count(*) FROM outd
+  UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'self_loops', count(*) FILTER (dst_idx = src_idx) FROM c""",
     "gen_reduced_skew": _REDUCED,
     "gen_verify": f"WITH g AS ({_REDUCED}) SELECT 'missing' AS kind, count(*) AS n FROM g WHERE src = 5 UNION ALL SELECT 'surplus', 1",
     "edge_csv_parse": f"""WITH {RAW}, t AS (SELECT (src + dst) % 5 AS kind, src, dst FROM raw)

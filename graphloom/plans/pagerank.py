@@ -86,19 +86,24 @@ class Graph:
         return G.in_degree(self.edges, self.vertices)
 
     def blocks(self) -> DataFrame:
-        """dst, src: edges in order of both as packed arrays, a destination in one block; made once."""
+        """dst, counts, src: edges in order of both as packed arrays, a destination in one block; made once."""
         if self.packed is None:
             ordered = G.sorted_in_edges(self.edges).select("dst_idx", "src_idx")
-            self.packed = self.scratch.write(ordered.mapInArrow(_pack, "dst binary, src binary"), "blocks")
+            self.packed = self.scratch.write(ordered.mapInArrow(_pack, _BLOCKS), "blocks")
         return self.packed
 
 
+_BLOCKS = "dst binary, counts binary, src binary"
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
 
     def block(dst: np.ndarray, src: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()]) for x in (dst, src)], names=["dst", "src"])
+        starts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(dst)]]))
+        return pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (dst[starts], counts, src)], names=["dst", "counts", "src"])
 
     for b in batches:
         held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
@@ -122,11 +127,10 @@ class Gather:
     def __init__(self, graph: Graph, edge_slice_size: int = 8192):
         self.spark = graph.edges.sparkSession
         self.n, self.slice = graph.n, edge_slice_size
-        pdf = graph.out_degrees.toPandas()  # 12 bytes a vertex, at most GATHER_VERTICES
+        table = graph.out_degrees.toArrow()  # 12 bytes a vertex, at most GATHER_VERTICES
         self.degree = np.zeros(self.n)
-        self.degree[pdf["idx"].to_numpy()] = pdf["degree"].to_numpy()
-        self.blocks = graph.blocks().cache()
-        self.blocks.count()
+        self.degree[table["idx"].to_numpy()] = table["degree"].to_numpy()
+        self.blocks = graph.blocks().cache()  # filled by the first pass
 
     def close(self) -> None:
         self.blocks.unpersist()
@@ -138,25 +142,25 @@ class Gather:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = shared.value
             for b in batches:
-                for dst, src in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    dst, src = np.frombuffer(dst, np.int32), np.frombuffer(src, np.int32)
-                    starts = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
-                    counts = np.diff(np.concatenate([starts, [len(dst)]]))
-                    own = np.repeat(np.arange(len(starts)), counts)
+                for row in range(b.num_rows):
+                    dst, counts, src = (np.frombuffer(c[row].as_buffer(), np.int32) for c in b.columns)
+                    own = np.repeat(np.arange(len(dst)), counts)
                     sent = values[src]
                     if counts.max() > size:  # the slices of a hub are summed first, then in order
-                        inside = (np.arange(len(dst)) - starts[own]) // size * (counts > size)[own]
+                        starts = np.cumsum(counts, dtype=np.int64) - counts
+                        inside = (np.arange(len(src)) - starts[own]) // size * (counts > size)[own]
                         pieces = np.cumsum(np.concatenate([[0], (own[1:] != own[:-1]) | (inside[1:] != inside[:-1])]))
                         partial = np.bincount(pieces, weights=sent)
                         first = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1]]))
                         total = np.bincount(own[first], weights=partial)
                     else:
                         total = np.bincount(own, weights=sent)  # adds in order, from 0
-                    yield pa.RecordBatch.from_arrays([pa.array([dst[starts].tobytes()]), pa.array([total.tobytes()])], names=["dst", "total"])
+                    yield pa.RecordBatch.from_arrays([pa.array([dst.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["dst", "total"])
 
         out = np.zeros(self.n)
-        for row in self.blocks.mapInArrow(run, "dst binary, total binary").collect():
-            out[np.frombuffer(bytes(row["dst"]), np.int32)] = np.frombuffer(bytes(row["total"]))
+        found = self.blocks.mapInArrow(run, "dst binary, total binary").toArrow()
+        for dst, total in zip(found["dst"], found["total"]):
+            out[np.frombuffer(dst.as_buffer(), np.int32)] = np.frombuffer(total.as_buffer())
         shared.destroy()
         return out
 

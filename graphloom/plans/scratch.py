@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is not set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir, or the folder of setCheckpointDir; a temporary folder only where neither is set and all is local."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ConfigError("executors on other machines need a shared folder: set spark.checkpoint.dir")
     if not hasattr(context, "_graphloom_dir"):
         context._graphloom_dir = tempfile.mkdtemp(prefix="graphloom-")
     return "file://" + context._graphloom_dir

@@ -1,9 +1,14 @@
-"""A prepared graph on disk: five tables and a manifest, published at once and checked again when opened."""
+"""A prepared graph on disk: five tables and a manifest, published at once and checked again when opened.
+
+The manifest has the rows of each table and a sum of row hashes that does not depend on their order, so a table that
+changed after publication is found even when nothing else of it is checked.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +21,7 @@ from ..schema import COMPACT_EDGES, DEGREES, TASKS, VERTICES
 
 TABLES = {"vertices": VERTICES, "in_edges": COMPACT_EDGES, "in_degree": DEGREES, "out_degree": DEGREES, "tasks": TASKS}
 MANIFEST = "manifest"
-KEYS = {"vertex_count", "edge_count", "edge_slice_size", "max_task_edges", "max_task_vertices"}
+KEYS = {"vertex_count", "edge_count", "edge_slice_size", "max_task_edges", "max_task_vertices", "files"}
 
 
 def _files(spark: SparkSession, path: str):
@@ -34,6 +39,31 @@ def check_bundle(vertices: DataFrame, edges: DataFrame, in_degrees: DataFrame, o
         raise DataError("out-degrees differ from the edges")
 
 
+def table_sums(tables: dict[str, DataFrame]) -> list[dict]:
+    """name, rows, checksum of each table: the sum of 64-bit row hashes modulo 2**64, in hexadecimal."""
+    found = []
+    for name, df in tables.items():
+        row = F.xxhash64(*df.columns)
+        sums = df.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.shiftrightunsigned(row, k).bitwiseAND(0xFFFFFFFF)), F.lit(0)).alias(f"s{k}") for k in (0, 32))).first()
+        found.append({"name": name, "rows": sums["n"], "checksum": f"{(sums['s0'] + (sums['s32'] << 32)) % (1 << 64):016x}"})
+    return found
+
+
+def move_to(spark: SparkSession, source: str, target: str) -> None:
+    """Rename in one step of the file system; an existing target is an error, never replaced and never moved into."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    place = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), place, never)
+    except Py4JJavaError as e:
+        if "Exists" in e.java_exception.getClass().getName():
+            raise PublicationError(f"output exists: {target}") from None
+        raise
+
+
 def publish_graph(graph: Graph, path: str, limits: T.TaskLimits = T.TaskLimits()) -> None:
     """Write a graph beside its place, check what was written, and rename it; an existing path is never replaced."""
     spark = graph.edges.sparkSession
@@ -47,11 +77,11 @@ def publish_graph(graph: Graph, path: str, limits: T.TaskLimits = T.TaskLimits()
         for name, df in frames.items():
             df.write.parquet(f"{staging}/{name}")
         row = G.graph_manifest(graph.vertices, graph.edges, limits.edge_slice_size, limits.max_task_edges, limits.max_task_vertices).first()
+        written = {name: spark.read.schema(schema).parquet(f"{staging}/{name}") for name, schema in TABLES.items()}
+        row = {**row.asDict(), "files": table_sums(written)}
         spark.createDataFrame([(G.encode_manifest(row)[:-1],)], "value string").coalesce(1).write.text(f"{staging}/{MANIFEST}")
         open_graph(spark, staging)
-        place, _ = _files(spark, staging)
-        if files.exists(target) or not files.rename(place, target):
-            raise PublicationError(f"output exists: {path}")
+        move_to(spark, staging, path)
     finally:
         place, _ = _files(spark, staging)
         files.delete(place, True)
@@ -69,9 +99,11 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def open_graph(spark: SparkSession, path: str, check: bool = True) -> Graph:
-    """A published graph; with ``check`` every invariant is proved again."""
+    """A published graph whose tables are those that were written; with ``check`` every invariant is proved again."""
     manifest = read_manifest(spark, path)
     tables = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+    if table_sums(tables) != manifest["files"]:
+        raise DataError("tables differ from the manifest")
     if check:
         limits = T.TaskLimits(manifest["edge_slice_size"], manifest["max_task_edges"], manifest["max_task_vertices"])
         counts = tables["vertices"].agg(F.count("*")).first()[0], tables["in_edges"].agg(F.count("*")).first()[0]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataError, DurabilityError, PublicationError
 from ..functions.text import rank_lines
+from ..plans.scratch import Scratch
 
 # The header, and messages for bad ranks.
 HEADER = "vertex,rank"
@@ -34,7 +35,7 @@ def rank_csv_lines(ranks: DataFrame) -> DataFrame:
 
 
 def write_rank_csv(ranks: DataFrame, path: str) -> None:
-    """Ranks sorted in parallel, parts joined in order beside the output, synced, and linked to its name."""
+    """Ranks sorted in parallel in the shared folder, parts joined in order beside the output, counted, synced, and linked to its name."""
     check_output(path)
     seen = ranks.agg(F.count("*").alias("n"), F.countDistinct("vertex").alias("ids"), F.count(F.when(F.isnan("rank") | (F.abs("rank") == float("inf")) | F.col("rank").isNull(), 1)).alias("bad")).first()
     if not seen["n"]:
@@ -44,24 +45,26 @@ def write_rank_csv(ranks: DataFrame, path: str) -> None:
     if seen["ids"] != seen["n"]:
         raise DataError(NOT_UNIQUE)
     parent = os.path.dirname(os.path.abspath(path))
-    staging = os.path.join(parent, f".ranks-{uuid.uuid4().hex}")
+    scratch = Scratch(ranks.sparkSession, "ranks")
+    whole = os.path.join(parent, f".ranks-{uuid.uuid4().hex}")
     try:
-        rank_csv_lines(ranks).write.text(f"file://{staging}")
-        parts = sorted(x for x in os.listdir(staging) if x.startswith("part-"))
-        whole = os.path.join(staging, "whole")
+        parts = f"{scratch.root}/lines"
+        rank_csv_lines(ranks).write.text(parts)
         with open(whole, "xb") as out:
             out.write(f"{HEADER}\n".encode())
-            for part in parts:
-                with open(os.path.join(staging, part), "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 20)
+            lines = join_parts(ranks.sparkSession, parts, out)
             out.flush()
             os.fsync(out.fileno())
+        if lines != seen["n"]:
+            raise PublicationError(f"wrote {lines} of {seen['n']} lines")
         try:
             os.link(whole, path)  # fails if the name is taken
         except FileExistsError:
             raise PublicationError(f"output exists: {path}") from None
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
+        scratch.drop("lines")
+        if os.path.exists(whole):
+            os.unlink(whole)
     try:
         folder = os.open(parent, os.O_RDONLY)
         try:
@@ -70,3 +73,24 @@ def write_rank_csv(ranks: DataFrame, path: str) -> None:
             os.close(folder)
     except OSError as e:
         raise DurabilityError(str(e)) from None
+
+
+def join_parts(spark: SparkSession, folder: str, out: BinaryIO) -> int:
+    """Append the part files of a folder in order, through the file system that Spark uses; the number of their lines."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(target) if x.getPath().getName().startswith("part-")]
+    lines = 0
+    for part in sorted(found, key=lambda p: int(p.getName().split("-")[1])):
+        stream, left = files.open(part), files.getFileStatus(part).getLen()
+        try:
+            while left:
+                size = min(left, 1 << 22)
+                block = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+                out.write(block)
+                lines += block.count(b"\n")
+                left -= size
+        finally:
+            stream.close()
+    return lines

@@ -46,6 +46,30 @@ def test_tasks(spark):
             T.TaskLimits(*limits)
 
 
+def test_packing_in_many_blocks(spark, monkeypatch):
+    """The tasks of blocks of few destinations against one walk over all of them."""
+    import random
+
+    rng = random.Random(11)
+    monkeypatch.setattr(T, "BLOCK_VERTICES", 32)
+    for trial in range(6):
+        limits = T.TaskLimits(rng.randrange(2, 9), rng.randrange(9, 30), rng.randrange(1, 9))
+        degrees = [rng.choice([0, 1, 2, rng.randrange(12), 40]) if trial else 0 for _ in range(rng.randrange(300, 900))]
+        wanted, task, begin = [], None, 0
+        for i, d in enumerate(degrees):
+            hub = d > limits.edge_slice_size
+            if task and (hub or task[1] == limits.max_task_vertices or task[3] + d > limits.max_task_edges):
+                wanted.append((1, task[0], task[1], 0, task[2], task[3]))
+                task = None
+            if not hub:
+                task = [task[0], task[1] + 1, task[2], task[3] + d] if task else [i, 1, begin, d]
+            begin += d
+        wanted += [(1, task[0], task[1], 0, task[2], task[3])] if task else []
+        df = spark.createDataFrame(list(enumerate(degrees)), "idx int, degree long").repartition(5)
+        assert sorted(map(tuple, T.ordinary_tasks(df, limits).collect())) == wanted
+    assert T.ordinary_tasks(df.limit(0), limits).count() == 0
+
+
 def test_dense_index_of_many_partitions(spark):
     df = spark.range(5000).selectExpr("cast(pmod(id * 7919, 5000) as int) as vid").repartition(9)
     assert all(r["vid"] == r["idx"] for r in G.dense_index(df, ["vid"]).collect())

@@ -4,7 +4,7 @@ from graphloom.errors import DataError, PublicationError
 from graphloom.operators.tasks import TaskLimits
 from graphloom.plans.pagerank import Graph, run
 from graphloom.sources.generator import generate
-from graphloom.sources.graph_store import open_graph, publish_graph, read_manifest
+from graphloom.sources.graph_store import move_to, open_graph, publish_graph, read_manifest
 
 
 def test_round_trip(spark, tmp_path):
@@ -20,6 +20,27 @@ def test_round_trip(spark, tmp_path):
         publish_graph(graph, path)
 
 
+def test_changed_table_with_right_counts(spark, tmp_path):
+    path = f"file://{tmp_path}/graph"
+    publish_graph(Graph.build(generate(spark, "reduced-skew")), path)
+    degrees = spark.read.parquet(f"{path}/out_degree").collect()
+    swapped = [(r["idx"], degrees[(i + 1) % len(degrees)]["degree"]) for i, r in enumerate(degrees)]
+    spark.createDataFrame(swapped, "idx int, degree long").write.mode("overwrite").parquet(f"{path}/out_degree")
+    with pytest.raises(DataError):
+        open_graph(spark, path, check=False)
+
+
+def test_move_never_replaces(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_text(name)
+    with pytest.raises(PublicationError):
+        move_to(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    assert [p.name for p in (tmp_path / "b").iterdir()] == ["b"]
+    move_to(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/c")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b", "c"]
+
+
 def test_malformed(spark, tmp_path):
     path = f"file://{tmp_path}/graph"
     publish_graph(Graph.build(generate(spark, "reduced-skew")), path)
