@@ -155,10 +155,16 @@ def diagnose(text: str, ended: bool) -> str | None:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """src, dst, ok of text rows (value); header rows have ok null."""
+    """src, dst, ok of text rows (value); header rows have ok null.
+
+    Lines that two integers written out give again need no pattern; blanks and carriage returns take the long way.
+    """
+    plain = lambda k: F.substring_index("value", ",", k).try_cast("int")
+    lines = lines.withColumn("p", plain(1)).withColumn("q", plain(-1))
+    lines = lines.withColumn("exact", F.coalesce(F.concat(F.col("p").cast("string"), F.lit(","), F.col("q").cast("string")) == F.col("value"), F.lit(False)))
     part = lambda k: F.regexp_extract("value", ROW, k)
-    value = lambda k: F.when(part(k) != "", part(k).cast("long"))
-    parsed = lines.select("*", value(1).alias("s"), value(2).alias("d"))
+    value = lambda k, c: F.when(F.col("exact"), F.col(c).cast("long")).when(part(k) != "", part(k).cast("long"))
+    parsed = lines.withColumn("s", value(1, "p")).withColumn("d", value(2, "q")).drop("p", "q", "exact")
     inside = lambda c: F.coalesce(F.col(c).between(INT_MIN, INT_MAX), F.lit(False))
     ok = F.when(F.col("value").isin(HEADER, HEADER + "\r"), F.lit(None)).otherwise(inside("s") & inside("d"))
     parsed = parsed.withColumn("ok", ok)
