@@ -30,8 +30,8 @@ from .common import hash_sample
 
 #: Pages, about, from which weights are learned; those among them that mark their article count.
 SAMPLE_PAGES = 500
-#: What a tag inside a marked article costs, in words, where no page is labelled; the share of labelled articles that stay whole.
-INSIDE_TAG, WHOLE = -0.2, 0.99
+#: What a tag inside a marked article costs, in words, at most.
+INSIDE_TAG = -0.2
 
 # Element names, roles and class words that mark what is not content.
 DROPPED_TAGS = frozenset("head script style noscript template nav header footer aside form button select textarea iframe object svg canvas dialog menu title audio video".split())
@@ -236,8 +236,8 @@ def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, flo
     """Weights of words and tags from labelled pages.
 
     A word inside a marked article gains one; a word outside one, on a page that has one, loses its log odds.  A tag inside
-    a marked article costs half of what would still leave the articles of all but a hundredth of the labelled pages whole,
-    one word at most.  Elsewhere a tag costs from that to five times as much: the more of its uses are outside articles, the more.
+    a marked article costs a fifth of what would still leave the articles of all labelled pages whole, a fifth of a word
+    at most.  Elsewhere a tag costs from that to five times as much: the more of its uses are outside articles, the more.
     """
     some = hash_sample(pages.select("page_id", "html"), "page_id", sample, pages.count())
 
@@ -256,8 +256,8 @@ def learn_weights(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, flo
 
     counts = some.mapInArrow(run, "feature string, inside boolean, n long, ratio double").groupBy("feature", "inside", "ratio").agg(F.sum("n").alias("n")).collect()
     table = {(r["feature"], r["inside"]): r["n"] for r in counts if r["feature"] is not None}
-    ratios = sorted(r["ratio"] for r in counts if r["ratio"] is not None for _ in range(r["n"]))
-    tag = -min(1.0, ratios[int((1 - WHOLE) * len(ratios))] / 2) if ratios else INSIDE_TAG
+    ratios = sorted(r["ratio"] for r in counts if r["ratio"] is not None)
+    tag = max(INSIDE_TAG, INSIDE_TAG * ratios[0]) if ratios else INSIDE_TAG
     weights = {"word": 1.0, "outside": -max(1.0, math.log((table.get(("word", True), 0) + 1) / (table.get(("word", False), 0) + 1))), "inside tag": tag}
     for name in sorted({f for f, _ in table} - {"word"}):
         out = table.get((name, False), 0) / (table.get((name, False), 0) + table.get((name, True), 0))
