@@ -3,7 +3,8 @@
 Texts become lower-case words joined by one space.  A notice of at most k edits is split into k + 1 pieces; by the
 pigeonhole principle one piece stands unchanged in every occurrence.  One Aho-Corasick pass finds the pieces, and in
 the window around each the ``regex`` library matches the whole notice with at most k errors and reports the span.
-Spans begin and end at words.
+Spans begin and end at words.  The library inserts no letters before the first of a pattern, so those that a word has too
+many at its beginning are asked for by patterns of their own, with fewer errors left.
 
 Defined results: null or wordless text has no word and no hit (score 0); every repeated row is scanned; overlapping
 places all count; other columns are ignored.
@@ -70,7 +71,7 @@ def split_pieces(text: str, edits: int) -> list[tuple[int, str]]:
 class Scanner:
     def __init__(self, notices: tuple[Notice, ...] = NOTICE_LIST):
         self.notices = notices
-        self.patterns = [regex.compile(rf"(?<![^ ])(?:{regex.escape(x.text)}){{e<={x.edits}}}(?![^ ])") for x in notices]
+        self.patterns = [[regex.compile(rf"(?<![^ ])[^ ]{{{more}}}(?:{regex.escape(x.text)}){{e<={x.edits - more}}}(?![^ ])") for more in range(x.edits + 1)] for x in notices]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, x in enumerate(notices):
             for at, piece in split_pieces(x.text, x.edits):
@@ -114,10 +115,11 @@ class Scanner:
                         if (at == 0 or text[at - 1] == " ") and (stop == len(text) or text[stop] == " "):
                             hits.append((at, stop, i, 0))
                         at = text.find(x.text, at + 1, b)
-                for m in self.patterns[i].finditer(text, a, b, overlapped=False):
-                    edits = sum(m.fuzzy_counts)
-                    if m.start() < m.end() and not (x.base and edits == 0):
-                        hits.append((m.start(), m.end(), i, edits))
+                for more, pattern in enumerate(self.patterns[i]):
+                    for m in pattern.finditer(text, a, b, overlapped=False):
+                        edits = sum(m.fuzzy_counts) + more
+                        if m.start() < m.end() and not (x.base and edits == 0):
+                            hits.append((m.start(), m.end(), i, edits))
         return sorted(set(hits))
 
 

@@ -1,6 +1,7 @@
+import random
 import re
 
-from graphloom.llm.license_scan import BASE, Scanner, scan_document, scan_licenses, split_pieces
+from graphloom.llm.license_scan import BASE, NOTICE_LIST, Scanner, scan_document, scan_licenses, split_pieces
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,6 +41,39 @@ def test_fuzzy_notices():
     assert span == [{"start": 2, "end": 5, "label": "proprietary", "edits": 0}]
 
 
+def distance(a, b):
+    before = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        now = [i]
+        for j, d in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (c != d)))
+        before = now
+    return before[-1]
+
+
+def test_notices_against_brute_force():
+    """A notice is found exactly where some stretch of whole words is within its edits."""
+    rng, scanner = random.Random(12), Scanner()
+    some = "the software of use code by in cc license general and mit all right".split()
+    found = []
+    for trial in range(150):
+        x = rng.choice(NOTICE_LIST)
+        letters = list(x.text)
+        for _ in range(rng.randrange(0, x.edits + 3)):
+            at, kind = rng.randrange(len(letters)), rng.randrange(3)
+            letters[at : at + (kind != 1)] = [rng.choice("abcdefghijklmnopqrstuvwxyz ")] if kind != 2 else []
+        text, _ = scanner.normalise(" ".join([*rng.choices(some, k=rng.randrange(4)), "".join(letters), *rng.choices(some, k=rng.randrange(4))]).encode())
+        words = text.split()
+        stretches = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)]
+        wanted = {k for k, y in enumerate(NOTICE_LIST) if any(abs(len(t) - len(y.text)) <= y.edits and distance(t, y.text) <= y.edits for t in stretches)}
+        hits = scanner.scan(text)
+        assert {k for _, _, k, _ in hits} == wanted, text
+        for a, b, k, edits in hits:  # spans of whole words, with the edits told or fewer
+            assert (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ") and distance(text[a:b], NOTICE_LIST[k].text) <= edits <= NOTICE_LIST[k].edits
+        found.append(len(hits) > 0)
+    assert 40 < sum(found) < 150
+
+
 def test_pieces_cover():
     for edits in range(5):
         pieces = split_pieces("general public license", edits)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from graphloom.llm.decontaminate import find_items
@@ -33,10 +34,28 @@ def test_stages(spark, sf_dir):
     assert pipeline.run(spark, sf_dir).count() == kept["mixing"]
 
 
+def windows(text):
+    """The different sequences of 50 words of a text that is not very long."""
+    found = text.split()
+    return {tuple(found[i : i + 50]) for i in range(len(found) - 49)} if len(found) < 5000 else set()
+
+
 def test_odd_rows(spark, odd, empty, sf_dir):
     rows, docs = odd
     for name, stage in pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir).cache()
+        before, docs = docs, stage(spark, docs, sf_dir).cache()
+        if name in ("repeats", "benchmark"):
+            texts = {r["text"]: r["doc_id"] for r in before.collect()}
+            left = docs.collect()
+            assert 0 < len(left) <= len(texts)
+            for r in left:  # whole rows, with their own columns; texts only lose passages
+                assert r["text"] in texts or name == "repeats" and len(r["text"]) < max(len(t) for t, i in texts.items() if i == r["doc_id"])
+                assert all(r[c] == "clash" for c in ("key", "n", "kept", "bucket"))
+            if name == "repeats":
+                seen = Counter(w for t in texts for w in windows(t))
+                assert any(n > 1 for n in seen.values()) and not any(seen[w] > 1 for r in left for w in windows(r["text"]))
+        if name == "mixing":
+            assert all(0 < r["taken"] <= 3 * r["size"] for r in docs.collect())
         if name == "language":
             assert docs.where("not text rlike '[a-zA-Z]'").count() == 0
         if name == "near_duplicates":
