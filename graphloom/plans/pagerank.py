@@ -12,6 +12,7 @@ Two strategies give the same ranks:
 from __future__ import annotations
 
 import itertools
+import os
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import VertexLimitError
+from ..errors import ResourceError, VertexLimitError
 from ..functions.thresholds import MAX_VERTICES, RankConfig, accepts, residual_error, step_error, worth_checking
 from ..operators import graph as G
 from ..operators import pagerank as P
@@ -29,6 +30,8 @@ from .scratch import Scratch
 
 #: Vertices up to which vectors are sent to the executors: 8 MB each.
 GATHER_VERTICES = MAX_VERTICES
+#: Bytes of a vertex on the driver: the vectors of a pass and their sums on arrival.
+GATHER_BYTES = 96
 #: Edges, about, in one packed block.
 BLOCK_EDGES = 1 << 20
 
@@ -311,11 +314,27 @@ def iterate(graph: Graph, steps: int, config: RankConfig = RankConfig(), strateg
         engine.close()
 
 
+def driver_memory() -> int:
+    """Bytes that the driver's machine has free; of a container with a limit, what the limit leaves."""
+    free = os.sysconf("SC_AVPHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
+    try:
+        with open("/proc/meminfo") as f:
+            free = max(free, next(int(x.split()[1]) << 10 for x in f if x.startswith("MemAvailable")))
+        with open("/sys/fs/cgroup/memory.max") as most, open("/sys/fs/cgroup/memory.current") as now:
+            free = min(free, int(most.read()) - int(now.read()))
+    except (OSError, ValueError, StopIteration):  # no such files, or no limit
+        pass
+    return free
+
+
 def _engine(graph: Graph, strategy: str, edge_slice_size: int) -> Gather | Join:
+    fits = graph.n * GATHER_BYTES <= driver_memory()
     if strategy == "auto":
-        strategy = "gather" if graph.n <= GATHER_VERTICES else "join"
+        strategy = "gather" if graph.n <= GATHER_VERTICES and fits else "join"
     if strategy == "gather" and graph.n > GATHER_VERTICES:
         raise ValueError(f"the gather strategy is for at most {GATHER_VERTICES} vertices")
+    if strategy == "gather" and not fits:
+        raise ResourceError(f"{graph.n} vertices need {graph.n * GATHER_BYTES} bytes on the driver, {driver_memory()} are free")
     return {"gather": Gather, "join": Join}[strategy](graph, edge_slice_size)
 
 

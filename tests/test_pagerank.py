@@ -103,3 +103,17 @@ def test_circulant(spark):
     for bad in ({"alpha": 0.0}, {"alpha": 1.0}, {"eta": 0.0}, {"max_iterations": 0}, {"tau_mass": -1.0}, {"alpha": float("nan")}):
         with pytest.raises(ValueError):
             RankConfig(**bad)
+
+
+def test_memory_of_the_driver(spark, monkeypatch):
+    """Too little for the vectors: the tables are taken, and asking for vectors is a resource error."""
+    from graphloom.errors import EXIT_RESOURCE, ResourceError
+    from graphloom.plans import pagerank as module
+
+    assert module.driver_memory() > 0
+    graph = Graph.build(spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int"))
+    monkeypatch.setattr(module, "driver_memory", lambda: 100)
+    assert isinstance(module._engine(graph, "auto", 8192), module.Join)
+    with pytest.raises(ResourceError) as e:
+        run(graph, strategy="gather")
+    assert e.value.code == EXIT_RESOURCE
