@@ -154,10 +154,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Repeats:
-    """The three passes over chunks for one length: of bytes anywhere, or of words in two documents."""
+    """The three passes over chunks for one length: of bytes anywhere, or of words in two documents.
 
-    def __init__(self, length: int, prime: int, buckets: int, with_text: bool, words: bool = False):
-        self.length, self.buckets, self.with_text, self.words = length, buckets, with_text, words
+    With ``losers`` only documents that lose something have rows, without digests.
+    """
+
+    def __init__(self, length: int, prime: int, buckets: int, with_text: bool, words: bool = False, losers: bool = False):
+        self.length, self.buckets, self.with_text, self.words, self.losers = length, buckets, with_text, words, losers
         while prime > 2 and prime * prime + prime + 1 > length - 8:
             prime -= 1
             while any(prime % k == 0 for k in range(2, prime)):
@@ -214,7 +217,7 @@ class Repeats:
             owner = np.searchsorted(bounds, at, side="right") - 1
             stay = np.zeros(len(ids), np.bool_)
             stay[owner] = True
-            rows = [self.finished(ids[i], data[offsets[i] : offsets[i + 1]], None) for i in np.flatnonzero(~stay)]
+            rows = [self.finished(ids[i], data[offsets[i] : offsets[i + 1]], None) for i in np.flatnonzero(~stay) if not self.losers]
             if stay.any():
                 sizes = np.diff(offsets)[stay]
                 moved = np.zeros(len(ids), np.int64)
@@ -339,7 +342,7 @@ class Repeats:
             gone = np.cumsum(edge)[: len(x)] > 0
             if spans:
                 gone = covered(len(data), *spans, bounds, gone)
-            rows = [self.finished(doc, data[i:j], gone[i:j]) for doc, i, j in zip(ids, offsets[:-1], offsets[1:])]
+            rows = [self.finished(doc, data[i:j], gone[i:j]) for doc, i, j in zip(ids, offsets[:-1], offsets[1:]) if not self.losers or gone[i:j].any()]
             for i in range(0, len(rows), 2000):
                 yield _rows(rows[i : i + 2000], _CHUNK_ARROW)
 
@@ -348,7 +351,8 @@ class Repeats:
         lost = int(gone.sum()) if gone is not None else 0
         kept = (data[~gone] if lost else data).tobytes()
         spans = len(runs(gone)[0]) if lost else 0
-        return None, [doc[0]], [doc[1]], None, None, None, None, len(data), lost, spans, hashlib.sha256(kept).hexdigest(), kept if lost and self.with_text else None
+        digest = None if self.losers else hashlib.sha256(kept).hexdigest()
+        return None, [doc[0]], [doc[1]], None, None, None, None, len(data), lost, spans, digest, kept if lost and self.with_text else None
 
 
 def covered(size: int, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -440,8 +444,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, wi
     scratch = Scratch(docs.sparkSession, "suffixes")
     chunks = _write_chunks(scratch, docs)
     if passage_words:
-        words = search(scratch, chunks, lambda b: Repeats(passage_words, WORD_PRIME, b, False, words=True), keep=True)
-        words = words.where("n_removed > 0").select(F.col("keys")[0].alias("key"), F.col("n_spans").alias("n_passages"), F.col("n_removed").alias("n_passage_bytes"))
+        words = search(scratch, chunks, lambda b: Repeats(passage_words, WORD_PRIME, b, False, words=True, losers=True), keep=True)
+        words = words.select(F.col("keys")[0].alias("key"), F.col("n_spans").alias("n_passages"), F.col("n_removed").alias("n_passage_bytes"))
         words = scratch.write(words, "passages")
         scratch.drop("w-marked", "w-cut")
     found = search(scratch, chunks, lambda b: Repeats(length, prime, b, with_text), keep=False)
