@@ -50,8 +50,16 @@ class NumericalError(EngineError):
 
 
 class PublicationError(EngineError):
+    """``state``: not_published, target_exists or no_replace_unsupported; nothing stands under the name in any of them."""
+
     kind, code = "publication", EXIT_PUBLICATION
 
+    def __init__(self, message: str, state: str = "not_published"):
+        super().__init__(message)
+        self.state = state
+
 
 class DurabilityError(EngineError):
-    kind, code = "durability", EXIT_DURABILITY
+    """The file is published, but its folder could not be synced."""
+
+    kind, code, state = "durability", EXIT_DURABILITY, "durability_uncertain"

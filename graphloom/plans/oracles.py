@@ -71,6 +71,9 @@ _REDUCED = """
 SELECT s::INT AS src, (CASE WHEN o = 1 AND s BETWEEN 25 AND 45 THEN 0 WHEN o = 1 AND s BETWEEN 46 AND 50 THEN 1 WHEN o = 1 AND s BETWEEN 51 AND 55 THEN 2 ELSE (s + o) % 101 END)::INT AS dst
 FROM range(0, 101) a(s), range(1, 5) b(o) WHERE NOT (o = 4 AND s < 21)
 UNION ALL SELECT 100, x::INT FROM range(4, 25) h(x)"""
+_SKEW = """g AS (SELECT s::INT AS src, (CASE WHEN o = 1 AND s BETWEEN 50000 AND 99949 THEN 0 WHEN o = 1 AND s BETWEEN 99950 AND 116284 THEN 1 WHEN o = 1 AND s BETWEEN 116285 AND 132619 THEN 2 ELSE (s + o) % 1000000 END)::INT AS dst
+FROM range(0, 1000000) a(s), range(1, 51) b(o) WHERE NOT (o = 50 AND s < 49950)
+UNION ALL SELECT 999999, x::INT FROM range(50, 50000) h(x))"""
 
 
 
@@ -161,6 +164,8 @@ ORACLES: dict[str, str] = {
   UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'self_loops', count(*) FILTER (dst_idx = src_idx) FROM c""",
     "gen_reduced_skew": _REDUCED,
     "gen_verify": f"WITH g AS ({_REDUCED}) SELECT 'missing' AS kind, count(*) AS n FROM g WHERE src = 5 UNION ALL SELECT 'surplus', 1",
+    "gen_skew_degrees": f"""WITH {_SKEW} SELECT 'out' AS direction, degree, count(*) AS vertices FROM (SELECT count(*) AS degree FROM g GROUP BY src) GROUP BY degree
+  UNION ALL SELECT 'in', degree, count(*) FROM (SELECT count(*) AS degree FROM g GROUP BY dst) GROUP BY degree""",
     "edge_csv_parse": f"""WITH {RAW}, t AS (SELECT (src + dst) % 5 AS kind, src, dst FROM raw)
   SELECT kind, kind NOT IN (1, 2) AS ok, count(*) AS n, CASE WHEN kind NOT IN (1, 2) THEN sum(src)::BIGINT END AS src_sum, CASE WHEN kind NOT IN (1, 2) THEN sum(dst)::BIGINT END AS dst_sum FROM t GROUP BY 1, 2""",
 }

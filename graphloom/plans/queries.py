@@ -16,7 +16,7 @@ from ..functions.thresholds import RankConfig, accepts
 from ..operators import graph as G
 from ..operators import pagerank as P
 from ..operators import tasks as T
-from ..sources import generator, tables
+from ..sources import dataset, generator, tables
 from ..sources.edge_csv import parse_lines
 from ..sources.graph_store import open_graph, publish_graph, read_manifest
 from .pagerank import Graph, Report, iterate, run
@@ -364,6 +364,12 @@ def gen_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.verify(found, "reduced-skew").select("kind", F.col("n").cast("long").alias("n"))
 
 
+@query
+def gen_skew_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degree histograms of the generator's largest skewed profile: 1,000,000 vertices and 50,000,000 edges."""
+    return dataset.degree_counts(generator.generate(spark, "skew"))
+
+
 @query
 def edge_csv_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data rows as the parser sees them, some with blanks and carriage returns, some malformed."""

@@ -60,7 +60,7 @@ def move_to(spark: SparkSession, source: str, target: str) -> None:
         context.rename(jvm.org.apache.hadoop.fs.Path(source), place, never)
     except Py4JJavaError as e:
         if "Exists" in e.java_exception.getClass().getName():
-            raise PublicationError(f"output exists: {target}") from None
+            raise PublicationError(f"output exists: {target}", "target_exists") from None
         raise
 
 
@@ -69,7 +69,7 @@ def publish_graph(graph: Graph, path: str, limits: T.TaskLimits = T.TaskLimits()
     spark = graph.edges.sparkSession
     target, files = _files(spark, path)
     if files.exists(target):
-        raise PublicationError(f"output exists: {path}")
+        raise PublicationError(f"output exists: {path}", "target_exists")
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     degrees = graph.in_degrees()
     frames = {"vertices": graph.vertices, "in_edges": G.sorted_in_edges(graph.edges).select("dst_idx", "src_idx"), "in_degree": degrees, "out_degree": graph.out_degrees, "tasks": T.task_partition(degrees, limits)}

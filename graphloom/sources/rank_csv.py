@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import os
 import uuid
 from typing import BinaryIO
@@ -20,13 +21,17 @@ NOT_FINITE = "rank must be finite"
 NOT_UNIQUE = "vertex IDs must be unique and strictly increasing"
 
 
-def check_output(path: str) -> None:
-    """The output must not exist, and its folder must be a real one."""
+def check_output(path: str, graph: str | None = None) -> None:
+    """The output must not exist, its folder must be a real one, and it must lie outside the published graph."""
     parent = os.path.dirname(os.path.abspath(path))
     if os.path.lexists(path):
-        raise PublicationError(f"output exists: {path}")
+        raise PublicationError(f"output exists: {path}", "target_exists")
     if os.path.islink(parent) or not os.path.isdir(parent):
         raise PublicationError(f"output folder is not a directory: {parent}")
+    if graph is not None:
+        kept = os.path.realpath(graph.removeprefix("file://"))
+        if os.path.commonpath([kept, os.path.realpath(parent)]) == kept:
+            raise PublicationError(f"output lies inside the graph: {path}")
 
 
 def rank_csv_lines(ranks: DataFrame) -> DataFrame:
@@ -34,9 +39,12 @@ def rank_csv_lines(ranks: DataFrame) -> DataFrame:
     return rank_lines(ranks).orderBy("vertex").select("line")
 
 
-def write_rank_csv(ranks: DataFrame, path: str) -> None:
-    """Ranks sorted in parallel in the shared folder, parts joined in order beside the output, counted, synced, and linked to its name."""
-    check_output(path)
+def write_rank_csv(ranks: DataFrame, path: str, graph: str | None = None) -> None:
+    """Ranks sorted in parallel in the shared folder, parts joined in order beside the output, counted, synced, and linked to its name.
+
+    ``graph``: the folder of the published graph they come from, if any, which stays as it is.
+    """
+    check_output(path, graph)
     scratch = Scratch(ranks.sparkSession, "ranks")
     ranks = scratch.write(ranks.select("vertex", "rank"), "ranks")
     seen = ranks.agg(F.count("*").alias("n"), F.countDistinct("vertex").alias("ids"), F.count(F.when(F.isnan("rank") | (F.abs("rank") == float("inf")) | F.col("rank").isNull(), 1)).alias("bad")).first()
@@ -61,7 +69,11 @@ def write_rank_csv(ranks: DataFrame, path: str) -> None:
         try:
             os.link(whole, path)  # fails if the name is taken
         except FileExistsError:
-            raise PublicationError(f"output exists: {path}") from None
+            raise PublicationError(f"output exists: {path}", "target_exists") from None
+        except OSError as e:
+            if e.errno in (errno.EPERM, errno.ENOTSUP, errno.ENOSYS):
+                raise PublicationError(f"the file system cannot publish without replacing: {path}", "no_replace_unsupported") from None
+            raise
     finally:
         scratch.drop("lines", "ranks")
         if os.path.exists(whole):
