@@ -40,6 +40,8 @@ BLOCK_SIZE = 1024
 SUBSPACES = 8
 CODES = 64
 ROUNDS = 12
+#: The name of a class, 128 bits in two columns; in the units a class has a number of its own, given when classes are written.
+NAME = ["name", "name2"]
 
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -174,15 +176,16 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     kind, label = np.float32 if single else np.float64, vectors.schema["label"].dataType.simpleString()
     embedding = F.col("embedding").cast("array<float>" if single else "array<double>")
     rows = vectors.select("vec_id", embedding.alias("embedding"), "label").withColumn("valid", valid)
-    rows = rows.withColumn("cid", F.when(F.col("valid"), F.xxhash64("label", "embedding")))
-    classes = rows.where("valid").groupBy("cid", "label", "embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"))
-    classes = scratch.write(classes, "classes")
+    names = {"name": F.xxhash64("label", "embedding"), "name2": F.xxhash64(F.lit("second"), "label", "embedding")}
+    rows = rows.withColumns({k: F.when(F.col("valid"), name) for k, name in names.items()})
+    classes = rows.where("valid").groupBy(*NAME, "label", "embedding").agg(F.count("*").alias("mult"), F.min("vec_id").alias("rep"))
+    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     size = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     lists = max(1, math.ceil(size["n"] / (LIST_SIZE * max(1, size["labels"]))))
     wanted = min(SAMPLE_MOST, max(SAMPLE_VECTORS, FIT_SIZE * lists))
     lists = min(lists, wanted // FIT_SIZE)
-    sample = hash_sample(classes.select("cid", "embedding"), "cid", wanted, size["n"]).toArrow().sort_by("cid").column("embedding").combine_chunks()
+    sample = hash_sample(classes.select("name", "embedding"), "name", wanted, size["n"]).toArrow().sort_by("name").column("embedding").combine_chunks()
     dims = np.diff(sample.offsets.to_numpy())
     flat, starts = sample.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
     indexes = {}
@@ -240,10 +243,10 @@ def find_near(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     found = scratch.write(units.applyInPandas(link, "cid long, links long, root long"), "links")
     roots = connected_components(scratch, found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    linked = classes.select("cid", "mult", "rep").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
+    linked = classes.select("cid", *NAME, "mult", "rep").join(links, "cid", "left").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     linked = scratch.write(linked.withColumn("root", F.coalesce("root", "cid")), "linked")
     least_id = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = linked.join(least_id, "root").select("cid", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    ok = rows.where("valid").select("vec_id", "cid").join(per_class, "cid").select("vec_id", "n_links", "component_id")
+    per_class = linked.join(least_id, "root").select(*NAME, (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    ok = rows.where("valid").select("vec_id", *NAME).join(per_class, NAME).select("vec_id", "n_links", "component_id")
     rest = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return ok.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -2,8 +2,8 @@
 
 A document is the set of its distinct word n-grams.  Two documents link when 100 |intersection| >= percent |union|.
 
-1. Documents are written as chunks with their sets' names; documents of one set are one class, so copies cost one row each
-   and nothing more.  The n-grams of each chunk are dealt out by bucket as packed names and counted over all chunks; a
+1. Documents are written as chunks with their sets' names, of 128 bits; documents of one set are one class, so copies cost
+   one row each and nothing more.  The n-grams of each chunk are dealt out by bucket as packed names and counted over all chunks; a
    level of the count, four bits for each n-gram, comes back.  So the order, rare first, is by true counts at any size.
 2. Of each class the prefix of its ordered set is dealt out by n-gram, without n-grams that stand in one document: two sets
    that link share an n-gram of both prefixes.  Length, positional and suffix filters are applied to the classes that meet
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, byte_blocks, byte_codes, class_table, connected_components, forest, lower_table, mix64, pack, span_hashes, string_buffer, unpack, word_spans
 
+#: Bits of a set's key; sets of one key and different checks, of 64 more bits, get keys of their own.
+KEY_BITS = 64
 #: Names, about, in one bucket of counts; buckets are a power of two, and this many at least.
 BUCKET_NAMES, LEAST_BUCKETS = 1 << 21, 256
 #: Bytes of a name that are sent, besides the bits of its bucket.
@@ -73,11 +75,12 @@ def document_sets(column: pa.Array, gram: int) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
-def set_key(grams: np.ndarray) -> int:
-    """A 64-bit name of a set."""
+def set_names(grams: np.ndarray, bits: int = KEY_BITS) -> tuple[int, int]:
+    """The key and the check of a set: two 64-bit names of it, the first cut to ``bits``."""
     with np.errstate(over="ignore"):
-        total = mix64(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(mix64(np.array([total + np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+        sums = [mix64(grams ^ np.uint64(c)).sum(dtype=np.uint64) + np.uint64(len(grams)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    key, check = mix64(np.array(sums, np.uint64)).view(np.int64)
+    return int(key >> np.int64(64 - bits)), int(check)
 
 
 def range_counts(grams: np.ndarray) -> bytes:
@@ -98,11 +101,11 @@ def passes(nx, px, ny, py, percent: int):
     return (100 * short >= percent * long_) & (1 + np.minimum(nx - px, ny - py) - 1 >= need)
 
 
-_CHUNK = "chunk long, ids array<long>, keys array<long>, counts array<long>, payload binary, sizes array<long>"
-_CHUNK_ARROW = pa.schema([("chunk", pa.int64())] + [(c, pa.list_(pa.int64())) for c in ("ids", "keys", "counts")] + [("payload", pa.binary()), ("sizes", pa.list_(pa.int64()))])
+_CHUNK = "chunk long, ids array<long>, keys array<long>, checks array<long>, counts array<long>, payload binary, sizes array<long>"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64())] + [(c, pa.list_(pa.int64())) for c in ("ids", "keys", "checks", "counts")] + [("payload", pa.binary()), ("sizes", pa.list_(pa.int64()))])
 
 
-def _chunks(gram: int):
+def _chunks(gram: int, bits: int):
     """Chunks of documents with the names and sizes of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,8 @@ def _chunks(gram: int):
             ids = b.column(0).to_pylist()
             for first, last, data, offsets in byte_blocks(b.column(1)):
                 sets = list(document_sets(pa.array([data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])], pa.binary()), gram))
-                row = (task << 32 | made, ids[first:last], [set_key(x) for x in sets], [len(x) for x in sets], data.tobytes(), np.diff(offsets))
+                keys, checks = zip(*(set_names(x, bits) for x in sets))
+                row = (task << 32 | made, ids[first:last], keys, checks, [len(x) for x in sets], data.tobytes(), np.diff(offsets))
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK_ARROW)], schema=_CHUNK_ARROW)
 
@@ -119,7 +123,7 @@ def _chunks(gram: int):
 
 
 def _read_chunks(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple]:
-    """(chunk, keys, sets, texts, the distinct n-grams in order, how often each stands, answers by bucket)."""
+    """(chunk, keys with their checks, sets, texts, the distinct n-grams in order, how often each stands, answers by bucket)."""
     for b in batches:
         for row in range(b.num_rows):
             x = {name: b.column(i)[row] for i, name in enumerate(b.schema.names)}
@@ -129,7 +133,7 @@ def _read_chunks(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple
             sets = list(document_sets(texts, gram))
             grams, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             answers = {a["bucket"]: a["levels"] for a in x["answers"].as_py() or []} if "answers" in x else {}
-            yield x["chunk"].as_py(), x["keys"].as_py(), sets, texts, grams, counts, answers
+            yield x["chunk"].as_py(), list(zip(x["keys"].as_py(), x["checks"].as_py())), sets, texts, grams, counts, answers
 
 
 _NAMES = "bucket int, chunk long, names binary, counts binary"
@@ -168,15 +172,15 @@ def _count_names(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "levels": packed})
 
 
-_PREFIX = "gram long, key long, n int, pos int, ranges binary, text binary"
-_PREFIX_ARROW = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("ranges", pa.binary()), ("text", pa.binary())])
+_PREFIX = "gram long, key long, check long, n int, pos int, ranges binary, text binary"
+_PREFIX_ARROW = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("ranges", pa.binary()), ("text", pa.binary())])
 
 
 def _prefixes(gram: int, percent: int, buckets: int):
     """Prefix n-grams that more than one document has, with their places; and, once, the text of a class that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for chunk, keys, sets, texts, grams, counts, answers in _read_chunks(batches, gram):
             level = np.zeros(len(grams), np.uint8)
             for k, i, j, _ in pack(grams, buckets, 0):
@@ -197,10 +201,11 @@ def _prefixes(gram: int, percent: int, buckets: int):
             times = [len(f[0]) for f in found]
             of = np.repeat(np.arange(len(found)), times)
             ranges = pa.array([f[4] for f in found], pa.binary()).take(pa.array(of))
-            columns = [np.concatenate([f[0] for f in found]).view(np.int64), np.repeat([f[2] for f in found], times), np.repeat([f[3] for f in found], times), np.concatenate([f[1] for f in found])]
+            names = np.array([f[2] for f in found], np.int64)
+            columns = [np.concatenate([f[0] for f in found]).view(np.int64), *np.repeat(names, times, axis=0).T, np.repeat([f[3] for f in found], times), np.concatenate([f[1] for f in found])]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _PREFIX_ARROW)), ranges, pa.nulls(len(of), pa.binary())], schema=_PREFIX_ARROW)
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([f[5] for f in found], pa.binary())], schema=_PREFIX_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *(pa.array(c) for c in names.T.copy()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array([f[5] for f in found], pa.binary())], schema=_PREFIX_ARROW)
 
     return run
 
@@ -366,19 +371,23 @@ def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (other documents linked directly) of every row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    chunks = scratch.write(docs.select("doc_id", "text").mapInArrow(_chunks(gram), _CHUNK), "chunks")
-    zipped = chunks.select(F.explode(F.arrays_zip("ids", "keys", "counts")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-    sets = scratch.write(zipped, "sets")
+    chunks = scratch.write(docs.select("doc_id", "text").mapInArrow(_chunks(gram, KEY_BITS), _CHUNK), "chunks")
+    zipped = chunks.select(F.explode(F.arrays_zip("ids", "keys", "checks", "counts")).alias("x"))
+    sets = scratch.write(zipped.select(F.col("x.ids").alias("doc_id"), F.col("x.keys").alias("key"), F.col("x.checks").alias("check"), F.col("x.counts").alias("n")), "sets")
+    clashes = sets.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("key")
+    clashes = scratch.write(clashes, "clashes")
+    clash = clashes.limit(1).count() > 0
+    sets = _apart(sets, clashes, clash)
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(LEAST_BUCKETS.bit_length() - 1, (total // BUCKET_NAMES).bit_length())
 
-    texts = chunks.select("chunk", "keys", "payload", "sizes")
+    texts = chunks.select("chunk", "keys", "checks", "payload", "sizes")
     names = texts.mapInArrow(_send_names(gram, buckets), _NAMES)
     answers = scratch.write(names.groupBy("bucket").applyInPandas(_count_names, "chunk long, bucket int, levels binary"), "levels")
     scratch.release()
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers"))
     found = texts.join(answers.hint("shuffle_hash"), "chunk", "left").mapInArrow(_prefixes(gram, percent, buckets), _PREFIX)
-    found = scratch.write(found, "prefixes")
+    found = _apart(scratch.write(found, "prefixes"), clashes, clash)
     scratch.drop("chunks", "levels")
     scratch.release()
 
@@ -401,6 +410,14 @@ def ngram_join(docs: DataFrame, gram: int = 5, percent: int = 80) -> DataFrame:
     return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def _apart(df: DataFrame, clashes: DataFrame, clash: bool) -> DataFrame:
+    """``df`` with a key of its own for each check where several sets have one key."""
+    if not clash:
+        return df.drop("check")
+    marked = df.join(clashes.withColumn("clash", F.lit(True)), "key", "left")
+    return marked.withColumn("key", F.when(F.col("clash"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("check", "clash")
+
+
 def _candidates(scratch: Scratch, rows: DataFrame, percent: int) -> DataFrame:
     """Forests (a, b) of the pairs that pass the filters, of each n-gram in one task or, above HOT_ROWS rows, in units."""
     hot = scratch.write(rows.groupBy("gram").count().where(F.col("count") > HOT_ROWS).select("gram"), "hot")

@@ -74,6 +74,22 @@ def test_groups_of_near_copies_in_blocks(spark, monkeypatch):
         assert Counter(map(tuple, ngram_join(docs, 4, 85).collect())) == wanted
 
 
+def test_sets_of_one_key(spark, monkeypatch):
+    """Keys of three bits: sets of one key are told apart by their checks."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(60):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(3, 60))]
+        for copy in range(rng.randrange(1, 4)):
+            own = list(base)
+            if copy == 2:
+                own[rng.randrange(len(own))] = "other"
+            rows.append((len(rows), " ".join(own)))
+    monkeypatch.setattr(module, "KEY_BITS", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, ngram_join(docs, 4, 85).collect())) == brute(rows, 4, 85)
+
+
 def test_empty(empty):
     assert ngram_join(empty).count() == 0
 
