@@ -322,7 +322,8 @@ def pagerank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _converged(spark: SparkSession, sf_dir: str) -> tuple[Report, DataFrame]:
-    report, ranks = run(supply_graph(spark, sf_dir))
+    """Of a graph of any size, as in SQL: the limit of vertices is one of the command."""
+    report, ranks = run(supply_graph(spark, sf_dir), RankConfig(max_vertices=None))
     if ranks is None:
         raise RuntimeError(f"{report.status}: {report.failure}")
     return report, ranks

@@ -45,3 +45,26 @@ def test_traced_graphs(spark, sf_dir):
     for edges, k, c in ((tables.supply(spark, sf_dir), 35, 2), (tables.hops(spark, sf_dir), 7, 1), (tables.trade_ge(spark, sf_dir, 25), 24, 2)):
         report, _ = rank(edges)
         assert (report.status, report.iterations, report.residual_checks) == ("converged", k, c)
+
+
+PARTS = 1_000_100
+
+
+@pytest.fixture(scope="module")
+def many_parts(spark, tmp_path_factory):
+    """Tables of 10 customers, 100 suppliers and PARTS parts: more vertices than the command takes."""
+    found = str(tmp_path_factory.mktemp("many"))
+    spark.range(10).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{found}/orders.parquet")
+    spark.range(PARTS).selectExpr("id % 10 AS l_orderkey", "id % 100 AS l_suppkey", "id AS l_partkey").write.parquet(f"{found}/lineitem.parquet")
+    return found
+
+
+def test_converged_above_the_limit_of_the_command(spark, many_parts):
+    """Customers have ten suppliers each, suppliers one customer and a hundredth of the parts, so three ranks are known."""
+    share = 0.85 * (1 + 0.085) / (PARTS // 100)
+    base = 1 / (10 + 100 * 1.085 + PARTS * (1 + share))
+    got = queries.QUERIES["pagerank_converged"](spark, many_parts).selectExpr("vertex div 1000000 AS kind", "rank").groupBy("kind").agg({"rank": "min", "*": "count"})
+    least = {r["kind"]: (r["count(1)"], r["min(rank)"]) for r in got.collect()}
+    assert {k: n for k, (n, _) in least.items()} == {0: 10, 1: 100, 2: 1_000_000, 3: 100}
+    for kind, wanted in ((0, base), (1, base * 1.085), (2, base * (1 + share)), (3, base * (1 + share))):
+        assert abs(least[kind][1] - wanted) <= 1e-10
